@@ -4,42 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tracelens.operators.skew import HOT_FLOOR, lookup
 from tracelens.session import materialise
 
 
-def _large_star(edges: DataFrame, floor: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     smallest = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low"))
-    linked = lookup(both, smallest, "src", "inner", floor)
+    linked = both.join(smallest, "src")
     return linked.filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
 
 
-def _small_star(edges: DataFrame, floor: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them (edges point to the smaller end)."""
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
     smallest = down.groupBy("src").agg(F.min("dst").alias("low"))
-    neighbours = lookup(down, smallest, "src", "inner", floor).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+    neighbours = down.join(smallest, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     return neighbours.unionByName(smallest.select("src", F.col("low").alias("dst")))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", floor: int = HOT_FLOOR) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` with the smallest node as the component label.
 
     Every round keeps one row per distinct edge, so a hub node is one star, never all pairs of
-    its neighbours.  Rounds stop when a round leaves the edge set unchanged; each result is
-    written to the shared folder, so the plan stays short and a lost executor costs one round.
+    its neighbours, and its rows meet the rest in plain joins whose large partitions the adaptive
+    planner splits.  Rounds stop when a round leaves the edge set unchanged; each half round is
+    written to the shared folder, so the plan stays short and a lost executor costs one half round.
     """
-    raw = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src is not null and dst is not null")
-    nodes = raw.select(F.col("src").alias("node")).union(raw.select("dst")).distinct()
-    current = materialise(
-        raw.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    raw = materialise(
+        edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+        .filter("src is not null and dst is not null")
+        .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+        .distinct()
     )
+    nodes = raw.select(F.col("src").alias("node")).union(raw.select("dst")).distinct()
+    current = raw.filter("src <> dst")
     signature = None
     while True:
-        stars = _large_star(current, floor)
-        following = materialise(_small_star(stars, floor).filter("src <> dst").distinct())
+        stars = materialise(_large_star(current).filter("src <> dst").distinct())
+        following = materialise(_small_star(stars).filter("src <> dst").distinct())
         latest = tuple(following.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst"))).first())
         if latest == signature:
             break

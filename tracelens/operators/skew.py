@@ -6,10 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_SHARE = 1_000            # a key is hot above 1/HOT_SHARE of the rows ...
-HOT_FLOOR = 10_000_000       # ... and only in tables of at least this many rows
-_HASHED = ("long", "integer", "string", "timestamp", "double", "date")
-
 
 def pick_first(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str] | None = None) -> DataFrame:
     """The row with the smallest ``order`` per key.
@@ -22,46 +18,14 @@ def pick_first(df: DataFrame, keys: Sequence[str], order: Column, columns: Seque
     return picked.select(*keys, *[F.col("_row").getField(c).alias(c) for c in columns])
 
 
-def hot_keys(facts: DataFrame, key: str, floor: int = HOT_FLOOR) -> DataFrame | None:
-    """Keys above 1/1000 of the rows, or ``None`` when there can be none worth splitting.
-
-    At most ``HOT_SHARE`` keys can exceed that share, which is what makes the result safe to broadcast.
-    """
-    total = facts.count()
-    if total < max(floor, 1):
-        return None
-    counts = facts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > F.lit(total / HOT_SHARE)).select(key)
-
-
-def lookup(facts: DataFrame, dim: DataFrame, key: str, how: str = "left", floor: int = HOT_FLOOR) -> DataFrame:
-    """Join ``facts`` to ``dim`` (unique on ``key``) without a hot-key partition.
-
-    Rows of hot keys are joined map-side against the few matching ``dim`` rows (at most
-    ``HOT_SHARE``, see :func:`hot_keys`); all other rows take the ordinary shuffle join.
-    """
-    hot = hot_keys(facts, key, floor)
-    if hot is None:
-        return null_spread_join(facts, dim, key, how)
-    hot = hot.persist()
-    hot_dim = dim.join(F.broadcast(hot), key, "left_semi")
-    on_hot = facts.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(hot_dim), key, how)
-    on_rest = null_spread_join(facts.join(F.broadcast(hot), key, "left_anti"), dim, key, how)
-    return on_hot.unionByName(on_rest)
-
-
 def null_spread_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Equi-join in which null keys of ``facts`` are spread over the partitions.
+    """Equi-join to ``dim`` (unique on ``key``) in which null keys of ``facts`` take no part.
 
-    A left join hashes all null keys to one task although they can match nothing; the second
-    join column scatters them and is constant for every real key.
+    A left join would hash all null keys to one task although they can match nothing, so they
+    go round the join; hot keys are split by the adaptive planner.
     """
+    joined = facts.filter(F.col(key).isNotNull()).join(dim, key, how)
     if how == "inner":
-        return facts.join(dim, key, "inner")
-    payload = [f.name for f in facts.schema.fields if f.name != key and f.dataType.typeName() in _HASHED]
-    if not payload:
-        return facts.join(dim, key, how)
-    scatter = F.pmod(F.xxhash64(*payload), F.lit(997)).cast("int")
-    spread = facts.withColumn("_spread", F.when(F.col(key).isNull(), scatter).otherwise(F.lit(0)))
-    joined = spread.join(dim.withColumn("_spread", F.lit(0)), [key, "_spread"], how)
-    return joined.drop("_spread")
+        return joined
+    lone = facts.filter(F.col(key).isNull())
+    return joined.unionByName(lone, allowMissingColumns=True)
