@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelens.llm.decontaminate import contamination, hit_words, is_contaminated
 from tracelens.llm.jaccard_join import jaccard_classes
+from tracelens.llm.labelled import held_out
 from tracelens.llm.packing import pack_documents
+from tracelens.llm.secret_scan import fit_grammars, listed, secret_spans
+from tracelens.llm.toxicity import fit_toxicity, toxicity_scores
 
 #: The vocabulary that op8 and the pipeline cut texts with.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
+#: The score from which a document is toxic.
+TOXIC_FROM = 0.7
+
 #: Arrow batches small enough for several numpy copies of their text in a worker.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
@@ -40,5 +46,27 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_jaccard_join, op4_decontaminate, op8_packing)}
+def toxic_held_out() -> Column:
+    """Rows that the toxicity model never learns from."""
+    return held_out(F.col("doc_id"), 3, 1)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    spans = secret_spans(documents, fit_grammars(documents))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] != "format")
+    return spans.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scores = toxicity_scores(documents, fit_toxicity(documents, table(spark, sf_dir, "labels"), toxic_held_out()))
+    return scores.select("doc_id", toxic_held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op3_jaccard_join, op4_decontaminate, op7_secret_scan, op8_packing, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
