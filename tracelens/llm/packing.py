@@ -25,7 +25,7 @@ END_ID = 0
 #: Pieces of one shard on average: enough that the few windows left open at its end are below 1 %.
 SHARD_PIECES = 1_000
 #: Words a worker remembers the ids of, and characters it splits at a time.
-KEPT_WORDS, SPLIT_CHARS = 400_000, 1 << 20
+KEPT_WORDS, SPLIT_CHARS = 1_200_000, 1 << 20
 _OPEN_SPACE = re.compile(r" (?:\s|\Z)")
 
 
@@ -49,9 +49,9 @@ class TextIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        for low in range(0, len(words), 4096):
-            some = words[low : low + 4096]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+        for low in range(0, len(words), 512):
+            some = words[low : low + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             starts = np.flatnonzero(self.begins[ids])
             blob, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
             if len(starts) != len(some):

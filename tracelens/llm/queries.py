@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tracelens.llm.decontaminate import contamination, hit_words, is_contaminated
 from tracelens.llm.jaccard_join import jaccard_classes
 from tracelens.llm.labelled import held_out
+from tracelens.llm.license_scan import STATEMENTS, scan_licenses
 from tracelens.llm.packing import pack_documents
 from tracelens.llm.secret_scan import fit_grammars, listed, secret_spans
 from tracelens.llm.toxicity import fit_toxicity, toxicity_scores
+from tracelens.llm.url_filter import judge_urls, rule_table
 
 #: The vocabulary that op8 and the pipeline cut texts with.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,5 +70,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", toxic_held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_jaccard_join, op4_decontaminate, op7_secret_scan, op8_packing, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+#: Rules of op9: verdict, host, path. Fixed values.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = judge_urls(pages, rule_table(pages, URL_RULES))
+    return judged.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+
+
+_LICENSES = " UNION ALL ".join(f"SELECT '{name}' AS license, '{text}' AS statement" for name, text in STATEMENTS)
+_WORDS = r"\p{L}+(?:-\p{L}+)*|[0-9]+(?:\.[0-9]+)*"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": f"""
+WITH templates AS (
+  SELECT license, len(w) AS length, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS pairs
+  FROM (SELECT license, regexp_extract_all(lower(statement), '{_WORDS}') AS w FROM ({_LICENSES}))),
+docs AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS w FROM documents),
+windows AS (
+  SELECT doc_id, license, pairs, s - 1 AS start, list_distinct([w[i] || ' ' || w[i + 1] for i in range(s, s + length - 1)]) AS own
+  FROM docs, templates, unnest(range(1, len(w) - length + 2)) AS t(s)),
+found AS (SELECT doc_id, license, start, len(list_intersect(own, pairs)) AS n, len(pairs) AS m FROM windows)
+SELECT doc_id, license, min(start) AS first_word, count(DISTINCT start) AS n_windows, max(n) AS n_pairs, max(m) AS of_pairs
+FROM found WHERE n >= 0.8 * m GROUP BY doc_id, license""",
+    "op9_url_filter": """
+WITH urls AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(verdict, rule_host, rule_path) AS (VALUES """ + ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES) + """),
+best AS (
+  SELECT u.*, (SELECT max(struct_pack(n := length(rule_host || rule_path), rule := rule_host || rule_path, verdict := r.verdict)) FROM rules r
+    WHERE (u.host = rule_host OR ends_with(u.host, '.' || rule_host)) AND starts_with(u.path, rule_path)) AS b FROM urls u)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM best""",
+}
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_license_scan, op3_jaccard_join, op4_decontaminate, op7_secret_scan, op8_packing, op9_url_filter, op10_toxicity)
+}
