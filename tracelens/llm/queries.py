@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelens.llm.decontaminate import contamination, hit_words, is_contaminated
+from tracelens.llm.embedding_forest import near_embeddings
 from tracelens.llm.jaccard_join import jaccard_classes
 from tracelens.llm.labelled import held_out
 from tracelens.llm.license_scan import STATEMENTS, scan_licenses
@@ -43,6 +44,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -112,5 +117,5 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_license_scan, op3_jaccard_join, op4_decontaminate, op7_secret_scan, op8_packing, op9_url_filter, op10_toxicity)
+    for f in (op2_license_scan, op3_jaccard_join, op4_decontaminate, op5_embedding_forest, op7_secret_scan, op8_packing, op9_url_filter, op10_toxicity)
 }
