@@ -11,7 +11,9 @@ from tracelens.llm.jaccard_join import jaccard_classes
 from tracelens.llm.labelled import held_out
 from tracelens.llm.license_scan import STATEMENTS, scan_licenses
 from tracelens.llm.packing import pack_documents
+from tracelens.llm.quality_knn import fit_quality, quality_scores
 from tracelens.llm.secret_scan import fit_grammars, listed, secret_spans
+from tracelens.llm.substring_dedup import deduplicate_substrings
 from tracelens.llm.toxicity import fit_toxicity, toxicity_scores
 from tracelens.llm.url_filter import judge_urls, rule_table
 
@@ -20,6 +22,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 #: The score from which a document is toxic.
 TOXIC_FROM = 0.7
+#: The score from which a document is good.
+QUALITY_FROM = 0.3
 
 #: Arrow batches small enough for several numpy copies of their text in a worker.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
@@ -31,6 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_substrings(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -58,6 +66,12 @@ def toxic_held_out() -> Column:
     return held_out(F.col("doc_id"), 3, 1)
 
 
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    scores = quality_scores(documents, fit_quality(documents, table(spark, sf_dir, "labels"), held))
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     spans = secret_spans(documents, fit_grammars(documents))
@@ -117,5 +131,8 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_license_scan, op3_jaccard_join, op4_decontaminate, op5_embedding_forest, op7_secret_scan, op8_packing, op9_url_filter, op10_toxicity)
-}
+    for f in (
+        op1_substring_dedup, op2_license_scan, op3_jaccard_join, op4_decontaminate, op5_embedding_forest,
+        op6_quality_knn, op7_secret_scan, op8_packing, op9_url_filter, op10_toxicity,
+    )
+}
