@@ -163,7 +163,8 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, seed: int = SEE
     named = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     runs = materialise(named.mapInArrow(lambda b: _runs(b, window, seed), "key long, doc_id long, start int, n int"))
     shared = runs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("times"))
-    shared = shared.filter("low < high").select("key", (F.col("times") > HOT).alias("hot"))
+    # written, so that neither side of the join is an aggregate and a hot key can be split
+    shared = materialise(shared.filter("low < high").select("key", (F.col("times") > HOT).alias("hot")))
     by_doc = runs.join(shared, "key").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "key", "hot")).alias("runs"))
     moved = materialise(named.join(materialise(by_doc), "doc_id"))
     packed = moved.mapInArrow(lambda b: _packed(b, window), _PACKED)
@@ -171,8 +172,8 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, seed: int = SEE
     found = cold.mapInArrow(lambda b: _sorted_buckets(b, window), "doc_id long, start int, n int")
     hot_runs = moved.withColumn("runs", F.filter("runs", lambda r: r["hot"])).filter(F.size("runs") > 0)
     windows = materialise(hot_runs.mapInArrow(lambda b: _packed(b, window), _PACKED).select("digest", "doc_id", "start"))
-    least = windows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
-    hot = windows.join(least, "digest").filter("doc_id > low").select("doc_id", "start", F.lit(1).alias("n"))
+    least = materialise(windows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high"))
+    hot = materialise(windows.join(least, "digest").filter("doc_id > low").select("doc_id", "start", F.lit(1).alias("n")))
     return moved, found.unionByName(hot)
 
 
