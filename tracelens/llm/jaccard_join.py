@@ -277,14 +277,15 @@ def _shared_shingles(documents: DataFrame, profiles: DataFrame, shingle: int) ->
 def _regions(nodes: DataFrame, percent: int) -> DataFrame:
     """(node, region): overlapping cells of the rarest shared shingles."""
     tokens = nodes.mapInArrow(_tokens, "token long, node long, n long")
-    frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # written, so that neither side of the joins is an aggregate and hot shingles can be split
+    frequent = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     ranked = tokens.join(frequent, "token").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     need = F.ceil(F.col("n") * F.lit(percent) / F.lit(100))
     cells = materialise(
         ranked.withColumn("spare", F.size("shared") - need.cast("int")).filter("spare >= 0")
         .select("node", F.explode(F.slice("shared", F.lit(1), F.col("spare") + 1)).alias("cell")).select("node", F.col("cell.token").alias("token"))
     )
-    lowest = cells.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
+    lowest = materialise(cells.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high"))
     met = cells.join(lowest, "token").select(F.col("node").alias("src"), F.col("low").alias("dst")).distinct()
     return connected_components(met).withColumnRenamed("component", "region")
 
