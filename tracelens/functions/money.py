@@ -10,7 +10,7 @@ from tracelens.functions.values import safe_long
 def paise_to_inr(paise: Column) -> Column:
     """Rupees with two decimals; negative or missing amounts are null."""
     n = safe_long(paise)
-    return F.when(n >= 0, (n / F.lit(100).cast("decimal(3,0)")).cast("decimal(18,2)"))
+    return F.when(n >= 0, (n / F.lit(100).cast("decimal(3,0)")).try_cast("decimal(18,2)"))
 
 
 def rupees_to_paise(text: Column) -> Column:
@@ -20,7 +20,7 @@ def rupees_to_paise(text: Column) -> Column:
 
 
 # Amount pattern and money words of bank messages.
-SMS_AMOUNT = r"(?i)(?:rs\.?|inr|₹)\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
+SMS_AMOUNT = r"(?iU)(?:rs\.?|inr|₹)\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
 SMS_MONEY_WORDS = r"(?i)debit|credit|sent|received|paid|withdraw|spent|txn|transaction|a/c|upi"
 
 

@@ -100,6 +100,6 @@ def provenance(source: str, table: str, row_key: Column, id_column: str, id_valu
         F.lit(id_column).alias("id_column"),
         id_value.cast("string").alias("id_value"),
         F.sha2(payload.cast("binary"), 256).alias("payload_sha256"),
-        F.length(payload).cast("long").alias("payload_bytes"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.lit(route).alias("decode_route"),
     )

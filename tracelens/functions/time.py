@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tracelens.functions.values import safe_double
+from tracelens.functions.values import safe_double, safe_long
 
 # Epoch offsets and the accepted range.
 APPLE_OFFSET_S = 978_307_200
@@ -65,7 +65,7 @@ def norm_ms(value: Column) -> Column:
 def ledger_ts_ms(value: Column, payment_id: Column) -> Column:
     """Milliseconds as stored (seconds are scaled up), else the wall clock inside the payment id."""
     v = safe_double(value)
-    stored = F.when(v != 0, F.when(v > 1e11, v).otherwise(v * 1000.0)).cast("long")
+    stored = F.when(v != 0, F.when(v > 1e11, v).otherwise(v * 1000.0)).try_cast("long")
     clock = F.regexp_extract(payment_id, r"^[TP](\d{12})", 1)
     embedded = F.unix_millis(F.try_to_timestamp(F.concat(F.lit("20"), clock), F.lit("yyyyMMddHHmmss")))
     return F.coalesce(stored, F.when(clock != "", embedded))
@@ -86,7 +86,7 @@ def decode_id_ts(payment_id: Column) -> Column:
 
 def chromium_ts(micros: Column) -> Column:
     """Timestamp of microseconds since 1601; values outside 1970..2100 are null."""
-    unix = safe_double(micros).cast("long") - CHROMIUM_OFFSET_US
+    unix = safe_long(micros) - CHROMIUM_OFFSET_US
     return F.when((unix > 0) & (unix <= MAX_EPOCH_S * 1_000_000), F.timestamp_micros(unix))
 
 

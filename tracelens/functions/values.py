@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+#: Decimal or scientific notation, without the type suffixes that a cast would take.
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 def filled(c: Column) -> Column:
     """The text, or null when it is empty or blank."""
@@ -21,23 +24,24 @@ def not_none_text(c: Column) -> Column:
 
 
 def safe_long(c: Column) -> Column:
-    """Whole number or null; booleans are not numbers."""
+    """Whole number or null: fractions are cut, other text and numbers beyond 64 bits are null."""
     text = F.trim(c.cast("string"))
-    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    exact = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    return F.coalesce(exact, F.when(F.abs(number) < F.lit(9.2e18), number.try_cast("bigint")))
 
 
 def safe_double(c: Column) -> Column:
-    return c.cast("string").try_cast("double")
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def tri_bool(c: Column) -> Column:
     """True, false or null: unknown words and missing values stay null."""
     text = F.lower(F.trim(c.cast("string")))
-    number = text.try_cast("double")
     return (
         F.when(text.isin("true", "yes", "1"), F.lit(True))
         .when(text.isin("false", "no", "0"), F.lit(False))
-        .when(number.isNotNull(), number != 0)
     )
 
 

@@ -10,7 +10,8 @@ from tracelens.session import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    smallest = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low"))
+    # written: a join side that is itself the aggregate cannot be split where a hub is hot
+    smallest = materialise(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low")))
     linked = both.join(smallest, "src")
     return linked.filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
 
@@ -18,7 +19,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them (edges point to the smaller end)."""
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    smallest = down.groupBy("src").agg(F.min("dst").alias("low"))
+    smallest = materialise(down.groupBy("src").agg(F.min("dst").alias("low")))
     neighbours = down.join(smallest, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     return neighbours.unionByName(smallest.select("src", F.col("low").alias("dst")))
 
