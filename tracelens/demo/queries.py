@@ -186,7 +186,7 @@ def upsert_merge(spark, sf_dir):
 
 
 @register(f"""WITH {_T}, {_L} SELECT 'payment' AS source, CAST(id AS VARCHAR) AS ref, ms FROM t WHERE ms IS NOT NULL UNION ALL SELECT 'ledger', CAST(grp AS VARCHAR), ms FROM l WHERE ms IS NOT NULL
-  UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), epoch_ms(ts) FROM events WHERE ts IS NOT NULL""")
+  UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), epoch_us(ts) // 1000 FROM events WHERE ts IS NOT NULL""")
 def timeline_union(spark, sf_dir):
     p, led, e = payments(spark, sf_dir), ledger_rows(spark, sf_dir), table(spark, sf_dir, "events")
     return pay.timeline({"payment": (p, F.col("id"), F.col("ms")), "ledger": (led, F.col("grp"), F.col("ms")), "event": (e, F.col("event_id"), time.epoch_ms(F.col("ts")))})
@@ -210,9 +210,9 @@ def contact_activity(spark, sf_dir):
     return people.join(flows, "party", "left").fillna(0)
 
 
-@register("SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
+@register("SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem WHERE l_quantity = 50 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
 def unambiguous_index(spark, sf_dir):
-    return pay.unambiguous(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+    return pay.unambiguous(table(spark, sf_dir, "lineitem").filter("l_quantity = 50"), "l_partkey", "l_suppkey")
 
 
 @register()
@@ -249,9 +249,9 @@ def findings(spark, sf_dir):
     return pay.findings(payments(spark, sf_dir))
 
 
-@register(f"WITH {_T} SELECT id, CAST(paise / 100.0 AS DECIMAL(18,2)) AS inr FROM t")
+@register(f"WITH {_T} SELECT id, CAST(CAST(paise / 100.0 AS DECIMAL(18,2)) AS VARCHAR) AS inr FROM t")
 def paise_to_inr(spark, sf_dir):
-    return payments(spark, sf_dir).select("id", money.paise_to_inr(F.col("paise")).alias("inr"))
+    return payments(spark, sf_dir).select("id", money.paise_to_inr(F.col("paise")).cast("string").alias("inr"))
 
 
 @register(f"WITH {_T} SELECT id, state = 'COMPLETED' AS ok, state = 'FAILED' AS failed, state = 'PENDING' AS pending, false AS unknown FROM t")
