@@ -23,7 +23,7 @@ from tracelens.llm.labelled import labelled_sample
 
 BUCKETS, WIDTH, RUN = 1 << 16, 8, 2
 #: Documents of either class in the training sample.
-SAMPLE_PER_CLASS = 1_500
+SAMPLE_PER_CLASS = 1_200
 #: Words whose logits a worker keeps.
 KEPT_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -37,7 +37,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams (3 to 6) of each word with its ends marked, concatenated, and each word's first."""
     codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    word = np.repeat(np.arange(len(words)), size)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))
     grams, owner = [], []
     h = np.full(len(codes), 0x9E3779B97F4A7C15, np.uint64)
@@ -46,7 +46,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n >= 2:
             whole = np.flatnonzero(left[: len(h)] > n)
             x = h[whole]
-            grams.append(((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64) % BUCKETS)
+            grams.append(((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int32) % BUCKETS)
             owner.append(word[whole])
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
@@ -138,7 +138,7 @@ def train(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.
     bias, ge, gs, gb = 0.0, np.full(BUCKETS, 1e-6), np.full(soft.shape, 1e-6), 1e-6
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     for step in range(steps):
-        collapsed = embed @ (soft[1] - soft[0])
+        collapsed = (embed @ (soft[1] - soft[0])).astype(np.float32)
         word_logit = np.add.reduceat(collapsed[gram_flat], gram_start) / gram_size
         mean, size = _runs(word_logit[flat], bounds, RUN)
         choice = mean if 2 * step >= steps else _runs(odds[flat], bounds, RUN)[0]
