@@ -127,6 +127,13 @@ def test_models_learn():
     assert quality_knn.train([], []).scores(pa.array([None], pa.string())).tolist() == [0.5]
 
 
+def test_scores_of_tables(docs):
+    q = quality_knn.train(["a b c d", "x x x x", ""], [1, 0, 1])
+    t = toxicity.train(["a b", "scum"], [0, 1])
+    for scored in (quality_knn.quality_scores(docs, q), toxicity.toxicity_scores(docs, t)):
+        assert scored.columns == ["doc_id", "score"] and scored.filter("score between 0 and 1").count() == len(DOCS)
+
+
 def test_secrets(docs):
     r = random.Random(5)
     hexes = ["".join(r.choices("0123456789abcdef", k=40)) for _ in range(80)]

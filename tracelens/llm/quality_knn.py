@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tracelens.llm.labelled import labelled_sample
 from tracelens.llm.words import slices, text_buffer, words_of
@@ -121,4 +122,5 @@ def _scored(batches: Iterator[pa.RecordBatch], model: QualityModel) -> Iterator[
 def quality_scores(documents: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id and score (0 to 1) for every row; null texts are empty and have a score too; other columns are not read."""
     own = documents.select("doc_id", "text")
-    return own.mapInArrow(lambda b: _scored(b, model), own.schema.add("score", "double")).drop("text")
+    schema = StructType([*own.schema.fields, StructField("score", DoubleType())])
+    return own.mapInArrow(lambda b: _scored(b, model), schema).drop("text")

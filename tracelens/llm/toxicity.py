@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tracelens.llm.labelled import labelled_sample
 
@@ -190,7 +191,9 @@ def _below(batches: Iterator[pa.RecordBatch], model: ToxicityModel, threshold: f
 
 def toxicity_scores(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id and score for every row; null, empty and wordless texts have the score of the bias; other columns are not read."""
-    return documents.select("doc_id", "text").mapInArrow(lambda b: _scored(b, model), documents.select("doc_id", "text").schema.add("score", "double")).drop("text")
+    own = documents.select("doc_id", "text")
+    schema = StructType([*own.schema.fields, StructField("score", DoubleType())])
+    return own.mapInArrow(lambda b: _scored(b, model), schema).drop("text")
 
 
 def without_toxic(documents: DataFrame, model: ToxicityModel, threshold: float) -> DataFrame:
