@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tracelens import verbs
-from tracelens.functions import money, time, values
+from tracelens.functions import classify, money, payload, time, values
 
 
 def one(spark, column, value, kind="string"):
@@ -35,3 +35,36 @@ def test_verbs_are_two_valued_and_total(spark):
     assert [r.id for r in verbs.tail(df, 2, "id").collect()] == [4, 5] and verbs.tail(df, 0, "id").count() == 0
     assert verbs.dedup(df.unionByName(df.withColumn("id", F.col("id") + 10)), "v", "id").count() == 5
     assert verbs.stats(df, "sum", "v").first()[0] == 19.0
+
+
+def test_payload_rules(spark):
+    cases = [
+        (classify.payment_amount, '{"amount":1e5}', 100_000),
+        (classify.payment_amount, '{"amount":1500.5,"paidFrom":{"amount":0}}', 1500),
+        (classify.payment_amount, '{"paidFrom":[{"amount":1500.5}],"amount":7}', 1500),
+        (classify.payment_amount, '{"receivedIn":{"actualAmount":"250"}}', 250),
+        (classify.payment_amount, '{"amount":{"amount":9}}', 9),
+        (classify.payment_amount, '{"amount":1,"amount":2}', 2),
+        (classify.payment_amount, '{"amount":true}', 0),
+        (classify.payment_amount, "plain text", 0),
+        (lambda v: classify.direction_of_payment(F.lit("SENT_PAYMENT"), v), '{"from":[{"a":1}],"receivedIn":{"a":1}}', "SENT"),
+        (lambda v: classify.direction_of_payment(F.lit("SENT_PAYMENT"), v), '{"from":{"a":1},"receivedIn":{"a":1}}', "RECEIVED"),
+        (lambda v: classify.direction_of_payment(F.lit("X"), v), '{"from":{"a":1},"receivedIn":[{}]}', "UNKNOWN"),
+        (lambda v: classify.direction_of_legs(F.lit(None).cast("string"), v), '{"actor":"receiver"}', "IN"),
+        (lambda v: classify.direction_of_legs(F.lit("X"), v), '{"paidFrom":[{}]}', "OUT"),
+        (classify.classify, '{"mandateAmount":null}', "MANDATE"),
+        (classify.classify, '{"to":{"type":"VPA","mcc":0}}', "PEER_TO_PEER"),
+        (classify.classify, '{"to":{"type":"VPA","mcc":"0000"}}', "PEER_TO_PEER"),
+        (classify.classify, '{"to":[{"type":"VPA","mcc":5411}]}', "MERCHANT"),
+        (classify.classify, '{"to":{"type":"VPA","firstPartyMerchant":"true"}}', "PEER_TO_PEER"),
+        (classify.classify, '{"to":{"type":"VPA","firstPartyMerchant":true}}', "MERCHANT"),
+        (classify.user_note, '{"note":" {hi} "}', "{hi}"),
+        (classify.user_note, '{"note":["q"]}', ""),
+        (classify.user_note, '{"note":{"message":"","text":"t"}}', "t"),
+        (lambda v: payload.at(v, "k"), '{"k":"x"', None),
+    ]
+    for rule, text, expected in cases:
+        assert one(spark, lambda c: rule(payload.decode_json(c)), text) == expected, text
+    assert one(spark, money.sms_paise, "Rs.\u00a0500 debited") == 50_000
+    flat = one(spark, payload.flatten, '{"a":{"x":{"y":1}},"b":"{\\"x\\":1}","c":[1,2],"d":{}}')
+    assert {r["key"]: r["value"] for r in flat} == {"a.x.y": "1", "b": '{"x":1}', "c": "[1,2]", "d": "{}"}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelens.functions.identity import psp
-from tracelens.functions.payload import Leg, at, long_at, text_at
-from tracelens.functions.values import filled, first_filled
+from tracelens.functions.payload import Leg, at, kind_at, long_at, text_at
+from tracelens.functions.values import filled
 
 # Initiation mode codes.
 INITIATION_MODES = {
@@ -54,8 +54,8 @@ def classify(v: Column) -> Column:
     """MERCHANT, PEER_TO_PEER, MANDATE, MERCHANT_REFUND or OTHER; the first rule that holds decides."""
     to, frm = Leg(v, "to"), Leg(v, "from", only_object=True)
     mode = at(v, "context.transferMode")
-    mandate = F.coalesce(at(v, "mandateAmount"), at(v, "mandateId"), at(v, "mandateRequestNote")).isNotNull()
-    mcc = to.text("mcc")
+    mandate = F.coalesce(*[kind_at(v, p) for p in ("mandateAmount", "mandateId", "mandateRequestNote")]).isNotNull()
+    mcc = F.when((to.kind("mcc") == "STRING") | (to.amount("mcc") != 0), to.text("mcc"))
     merchant = (
         F.coalesce(to.raw("type") == "MERCHANT", F.lit(False))
         | to.text("merchantId", "merchantType", "merchantIdentifierType", "subMerchantId").isNotNull()
@@ -198,13 +198,13 @@ def direction_of_legs(kind: Column, v: Column) -> Column:
     """IN, OUT, INTERNAL or UNKNOWN: the stated actor outranks the type unless the type says it outright."""
     actor = F.upper(F.trim(at(v, "actor")))
     stated = F.when(
-        ~kind.isin(SELF_EVIDENT_TYPES),
+        ~F.coalesce(kind, F.lit("")).isin(SELF_EVIDENT_TYPES),
         F.when(actor == "RECEIVER", "IN")
         .when(actor == "SENDER", "OUT")
-        .when(Leg(v, "paymentPayerParty").present(), "IN")
-        .when(Leg(v, "paymentReceiver").present(), "OUT"),
+        .when(Leg(v, "paymentPayerParty").stated(), "IN")
+        .when(Leg(v, "paymentReceiver").stated(), "OUT"),
     )
-    by_shape = F.when(Leg(v, "paidFrom").present(), "OUT").when(Leg(v, "receivedIn").present() | Leg(v, "from").present(), "IN")
+    by_shape = F.when(Leg(v, "paidFrom").stated(), "OUT").when(Leg(v, "receivedIn").stated() | Leg(v, "from").stated(), "IN")
     return F.coalesce(stated, mapped(kind, LEG_TYPE_DIRECTION), by_shape, F.lit("UNKNOWN"))
 
 
@@ -258,12 +258,8 @@ def payment_state(state: Column, v: Column) -> Column:
 
 
 def user_note(v: Column) -> Column:
-    """What the user typed; automatic tags are not notes."""
-    return F.trim(F.coalesce(text_at(v, "context.message"), text_at(v, "note.message", "note.text"), plain_note(v), F.lit("")))
-
-
-def plain_note(v: Column) -> Column:
-    note = filled(at(v, "note"))
-    return F.when(~note.startswith("{"), note)
-
-
+    """What the user typed: the context's message, else a text note or an object's message or text; lists are not notes."""
+    some = lambda c: F.when(c != "", c)
+    plain = F.when(kind_at(v, "note") == "STRING", at(v, "note"))
+    note = F.coalesce(some(at(v, "context.message")), plain, some(at(v, "note.message")), some(at(v, "note.text")), F.lit(""))
+    return F.regexp_replace(note, r"(?U)^\s+|\s+$", "")

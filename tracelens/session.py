@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split skewed join partitions even when a later operator then needs a shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # of a repeated key in a JSON payload the last value holds; by default the whole payload would be lost
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
