@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import tracelens.demo.more  # noqa: F401  registers its queries
 from tracelens.demo.queries import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -28,8 +29,8 @@ def plain(v):
 def test_query_equals_its_sql(spark, sql, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     rel = sql.sql(SQL[name])
     at = [rel.columns.index(c) for c in columns]
     assert sorted(rel.columns) == columns
-    assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
+    assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
