@@ -10,6 +10,7 @@ from tracelens.llm.embedding_forest import near_embeddings
 from tracelens.llm.jaccard_join import jaccard_classes
 from tracelens.llm.labelled import held_out
 from tracelens.llm.license_scan import STATEMENTS, scan_licenses
+from tracelens.llm.license_texts import scan_license_texts
 from tracelens.llm.packing import pack_documents
 from tracelens.llm.quality_knn import fit_quality, quality_scores
 from tracelens.llm.secret_scan import fit_grammars, listed, secret_spans
@@ -97,6 +98,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_license_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = judge_urls(pages, rule_table(pages, URL_RULES))
@@ -132,7 +137,7 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op2_license_scan, op3_jaccard_join, op4_decontaminate, op5_embedding_forest,
+        op1_substring_dedup, op2_license_scan, op2_license_texts, op3_jaccard_join, op4_decontaminate, op5_embedding_forest,
         op6_quality_knn, op7_secret_scan, op8_packing, op9_url_filter, op10_toxicity,
     )
 }
