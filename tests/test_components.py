@@ -1,5 +1,7 @@
+import datetime
 import random
 
+from tracelens.demo.queries import QUERIES
 from tracelens.operators.components import connected_components
 
 
@@ -25,3 +27,12 @@ def test_components_with_hub_chain_and_selfloop(spark):
     df = spark.createDataFrame(edges, "src string, dst string")
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == partition(edges)
+
+
+def test_component_clusters_takes_every_row(spark, tmp_path):
+    rng = random.Random(4)
+    day = datetime.datetime(1995, 1, 1)
+    rows = [(k // 3, rng.randrange(6), day + datetime.timedelta(days=rng.randrange(20)), float(k % 50 + 1)) for k in range(150)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_shipdate timestamp, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.node: r.component for r in QUERIES["component_clusters"](spark, str(tmp_path)).collect()}
+    assert got == partition([(f"order:{o}", f"shipping:{s}:{d:%Y-%m-%d}") for o, s, d, _ in rows])

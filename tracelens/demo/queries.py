@@ -215,11 +215,18 @@ def unambiguous_index(spark, sf_dir):
     return pay.unambiguous(table(spark, sf_dir, "lineitem").filter("l_quantity = 50"), "l_partkey", "l_suppkey")
 
 
+@register("SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
+def unambiguous_index_whole(spark, sf_dir):
+    """Over all rows, of which every l_partkey has several suppliers."""
+    return pay.unambiguous(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
+
+
 @register()
 def component_clusters(spark, sf_dir):
-    ids = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
-    df = table(spark, sf_dir, "lineitem").filter("l_quantity >= 45")
-    return connected_components(df.select(ids("order:", "l_orderkey").alias("src"), ids("supplier:", "l_suppkey").alias("dst")))
+    """Orders and the suppliers' days of shipping over all rows; orders and suppliers alone are one component."""
+    order = F.concat(F.lit("order:"), F.col("l_orderkey").cast("string"))
+    shipping = F.concat(F.lit("shipping:"), F.col("l_suppkey").cast("string"), F.lit(":"), F.col("l_shipdate").cast("date").cast("string"))
+    return connected_components(table(spark, sf_dir, "lineitem").select(order.alias("src"), shipping.alias("dst")))
 
 
 @register(f"""WITH {_T}, g AS (SELECT party, {_FLOW}, min(ms) AS first_ms, max(ms) AS last_ms FROM t GROUP BY party), m AS (SELECT conv_id AS party, count(*) AS n_messages FROM conversations GROUP BY 1)
