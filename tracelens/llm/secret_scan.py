@@ -136,8 +136,6 @@ class Grammars:
     words: Automaton | None
 
     def accepts(self, text: str) -> bool:
-        if not any(c.isdigit() for c in text):
-            return False
         other = self.words.score(text) if self.words else -math.inf
         return any((s := a.score(text)) >= least and s > other for a, least in self.by_kind.values())
 
@@ -161,6 +159,20 @@ def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int,
             yield m.span()
 
 
+def _rests(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Of each run that reaches out of the taken spans it meets: the whole run, then its parts of LEAST characters outside of them."""
+    for m in _CANDIDATE.finditer(text):
+        met = sorted(x for x in taken if x[0] < m.end() and m.start() < x[1])
+        if met:
+            gaps, at = [], m.start()
+            for s, e in [*met, (m.end(), m.end())]:
+                if s > at:
+                    gaps.append((at, s))
+                at = max(at, e)
+            if gaps:
+                yield [m.span(), *(g for g in gaps if g[1] - g[0] >= LEAST)]
+
+
 def all_spans(text: str, grammars: Grammars | None, known: dict[str, bool] | None = None) -> list[tuple[int, int, str]]:
     """Base spans and added ones (kind ``format``), by start and then kind."""
     base = base_spans(text)
@@ -169,6 +181,11 @@ def all_spans(text: str, grammars: Grammars | None, known: dict[str, bool] | Non
         for s, e in _candidates(text, [x[:2] for x in base]):
             if grammars.accepts(text[s:e]):
                 out.append((s, e, "format"))
+        for whole, *parts in _rests(text, [x[:2] for x in base]):
+            if grammars.accepts(text[slice(*whole)]):
+                out.append((*whole, "format"))
+            else:
+                out += [(*part, "format") for part in parts if grammars.accepts(text[slice(*part)])]
         out.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return out
 
