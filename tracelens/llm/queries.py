@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tracelens.llm.conversation_repair import damaged, repair_conversations
 from tracelens.llm.decontaminate import contamination, hit_words, is_contaminated
 from tracelens.llm.embedding_forest import near_embeddings
+from tracelens.llm.filter_audit import audit_filters
 from tracelens.llm.jaccard_join import jaccard_classes
 from tracelens.llm.labelled import held_out
 from tracelens.llm.license_scan import STATEMENTS, scan_licenses
@@ -15,8 +17,10 @@ from tracelens.llm.packing import pack_documents
 from tracelens.llm.quality_knn import fit_quality, quality_scores
 from tracelens.llm.secret_scan import fit_grammars, listed, secret_spans
 from tracelens.llm.substring_dedup import deduplicate_substrings
+from tracelens.llm.token_counts import count_tokens
 from tracelens.llm.toxicity import fit_toxicity, toxicity_scores
 from tracelens.llm.url_filter import judge_urls, rule_table
+from tracelens.session import tune
 
 #: The vocabulary that op8 and the pipeline cut texts with.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -108,10 +112,44 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
 
 
+#: Tokens of a text that fits a training window.
+TOKEN_LIMIT = 1024
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = count_tokens(table(tune(spark), sf_dir, "documents"), TOKENIZER)
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(tune(spark), sf_dir, "conversations"), damaged)
+
+
 _LICENSES = " UNION ALL ".join(f"SELECT '{name}' AS license, '{text}' AS statement" for name, text in STATEMENTS)
 _WORDS = r"\p{L}+(?:-\p{L}+)*|[0-9]+(?:\.[0-9]+)*"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+f AS (
+  SELECT part, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic,
+    concat(CASE WHEN len(w) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END, CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' END,
+      CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 'E' END) AS fails FROM d),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS earlier FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+g AS (
+  SELECT part, filter_order, step, x, sum(n) FILTER (NOT gone AND NOT failing) AS kept, sum(n) FILTER (NOT gone AND failing) AS removed, sum(n) FILTER (gone AND failing) AS redundant,
+    sum(n) FILTER (fails = x) AS unique_fails, sum(n_good) FILTER (NOT gone AND failing) AS good_lost, sum(n_toxic) FILTER (NOT gone AND failing) AS toxic_lost
+  FROM (SELECT *, translate(fails, earlier, '') <> fails AS gone, contains(fails, x) AS failing FROM m, s) GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley FROM g""",
     "op2_license_scan": f"""
 WITH templates AS (
   SELECT license, len(w) AS length, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS pairs
@@ -138,6 +176,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_license_scan, op2_license_texts, op3_jaccard_join, op4_decontaminate, op5_embedding_forest,
-        op6_quality_knn, op7_secret_scan, op8_packing, op9_url_filter, op10_toxicity,
+        op6_quality_knn, op7_secret_scan, op8_packing, op9_url_filter, op10_toxicity, op11_filter_audit, op12_token_counts, op13_conversation_repair,
     )
 }
