@@ -58,11 +58,12 @@ def fault_counts(documents: DataFrame, labels: DataFrame, part: Column) -> DataF
     doc_id is as many documents; a document is good or toxic if any label row of its id says so.
     """
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(part.cast("string"), F.lit("")).alias("part"), "text")
-    facts = slim.mapInArrow(_facts, "doc_id long, part string, mask int, digest binary")
+    # parted before the pass over the texts, so that each text is read once; the scan skips files without null ids by their statistics
+    facts = lambda which: slim.filter(which).mapInArrow(_facts, "doc_id long, part string, mask int, digest binary")
     says = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)))
     votes = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(says("quality").alias("good"), says("toxic").alias("toxic"))
-    told = facts.filter("doc_id is not null").join(votes, "doc_id", "left").fillna(False, ["good", "toxic"])
-    lone = facts.filter("doc_id is null").withColumns({"good": F.lit(False), "toxic": F.lit(False)})
+    told = facts("doc_id is not null").join(votes, "doc_id", "left").fillna(False, ["good", "toxic"])
+    lone = facts("doc_id is null").withColumns({"good": F.lit(False), "toxic": F.lit(False)})
     # each aggregate shrinks a group of copies on the map side, so that the window sees a row for each kind of copy and not each copy
     kinds = ["digest", "part", "mask", "good", "toxic"]
     rows = told.unionByName(lone).groupBy("doc_id", *kinds).agg(F.count(F.lit(1)).alias("n"))
