@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import tracelens.demo.more  # noqa: F401  registers its queries
+import tracelens.demo.records  # noqa: F401
 import tracelens.demo.recovery  # noqa: F401
 import tracelens.demo.relations  # noqa: F401
 from tracelens.demo.queries import QUERIES, SQL

@@ -62,6 +62,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folders[context.applicationId]
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has written to."""
+    return f"{shared_dir(spark).rstrip('/')}/tracelens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -69,6 +74,6 @@ def materialise(df: DataFrame) -> DataFrame:
     readers and gives the optimizer real sizes, so small results are broadcast on their own.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tracelens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
