@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-import tracelens.demo.more  # noqa: F401  registers its queries
+import tracelens.demo.lists  # noqa: F401  registers its queries
+import tracelens.demo.more  # noqa: F401
 import tracelens.demo.records  # noqa: F401
 import tracelens.demo.recovery  # noqa: F401
 import tracelens.demo.relations  # noqa: F401

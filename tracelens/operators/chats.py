@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelens.functions.values import filled, is_true
-from tracelens.operators.skew import null_spread_join
+from tracelens.operators.skew import lookup_join
 
 
 def most_frequent(members: DataFrame, group: str, key: str) -> Column:
@@ -45,7 +45,7 @@ def conversations(groups: DataFrame, members: DataFrame, people: DataFrame) -> D
     other = {f"other_{c}": F.col(f"other.{c}") for c in ("connection", "display_name", "masked_phone")}
     rows = groups.join(sized, "group_id", "left").withColumns(other).drop("other").fillna(0, ["n_members", "n_others"]).fillna(False, ["owner_present"])
     known = people.select(F.col("connection").alias("other_connection"), F.col("phone").alias("other_phone"), F.col("name").alias("other_name"))
-    return null_spread_join(rows, known, "other_connection").withColumn("is_group", F.col("n_members") > 2)
+    return lookup_join(rows, known, "other_connection").withColumn("is_group", F.col("n_members") > 2)
 
 
 def member_phones(members: DataFrame, people: DataFrame) -> DataFrame:

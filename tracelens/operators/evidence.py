@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelens.functions.values import filled
 from tracelens.operators.components import connected_components
-from tracelens.operators.skew import null_spread_join
 
 #: Kinds of reference that assert a movement of money, so that a ledger row is expected. Fixed values.
 PAYMENT_KINDS = ("ledger_row", "chat_payment_card", "chat_receipt", "chat_settlement", "reward_link", "split_settlement")
@@ -48,7 +47,7 @@ def corroborate(sources: Mapping[str, DataFrame], payment_kinds: Collection[str]
     entities = alias_entities(records)
     order = F.struct("place", F.coalesce("ms", F.lit(2**62)).alias("ms"), "id")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(order, F.col(c).alias("v"))))
-    told = null_spread_join(records.drop("ids"), entities, "id", "inner")
+    told = records.drop("ids").join(entities, "id")
     facts = told.groupBy("entity").agg(
         F.count_distinct("source").cast("int").alias("score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
         F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("ref_kinds"), F.coalesce(F.max(F.col("kind").isin(*payment_kinds)), F.lit(False)).alias("expects_ledger_row"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelens.functions.money import is_success
 from tracelens.functions.values import filled, first_filled, is_true
-from tracelens.operators.skew import null_spread_join
+from tracelens.operators.skew import lookup_join
 
 #: Kinds of node, most trusted first. Fixed values.
 CONTACT, UNIDENTIFIED, PHONEBOOK, PAYMENT, CHAT, THREAD = "CONTACT", "CONTACT_UNIDENTIFIED", "PHONEBOOK_ONLY", "TXN_DERIVED", "CHAT_DERIVED", "CHAT_THREAD_ONLY"
@@ -43,7 +43,7 @@ def with_phonebook(nodes: DataFrame, phonebook: DataFrame) -> DataFrame:
     A node of the phonebook alone does not say that its person is absent from the app: ``on_app`` is null.
     """
     book = phonebook.filter(filled(F.col("number")).isNotNull()).groupBy("number").agg(first_by("name").alias("book_name"), F.min_by("name", F.struct("seq", "name")).alias("first_name"))
-    named = null_spread_join(nodes, book.select(F.col("number").alias("phone"), "book_name"), "phone")
+    named = lookup_join(nodes, book.select(F.col("number").alias("phone"), "book_name"), "phone")
     filled_in = named.withColumn("name", first_filled(F.col("name"), F.col("book_name"))).drop("book_name")
     lone = book.join(nodes.select(F.col("node_id").alias("number")), "number", "left_anti")
     return filled_in.unionByName(lone.select(F.col("number").alias("node_id"), F.lit(PHONEBOOK).alias("kind"), F.col("first_name").alias("name"), F.col("number").alias("phone")), allowMissingColumns=True)
@@ -62,12 +62,12 @@ def attribute_payments(payments: DataFrame, keyed: DataFrame) -> DataFrame:
     """
     blank = lambda c: filled(F.col(c))
     phones = keyed.select(blank("phone").alias("_phone")).filter("_phone is not null").distinct().withColumn("_by_phone", F.lit(True))
-    rows = null_spread_join(payments.withColumn("_phone", blank("phone")), phones, "_phone")
+    rows = lookup_join(payments.withColumn("_phone", blank("phone")), phones, "_phone")
     by_vpa = _first_node(keyed, "vpa").select(F.col("vpa").alias("_vpa"), F.col("_found").alias("_by_vpa"))
-    rows = null_spread_join(rows.withColumn("_vpa", F.when(F.col("_by_phone").isNull(), blank("vpa"))), by_vpa, "_vpa")
+    rows = lookup_join(rows.withColumn("_vpa", F.when(F.col("_by_phone").isNull(), blank("vpa"))), by_vpa, "_vpa")
     left = F.col("_by_phone").isNull() & F.col("_by_vpa").isNull()
     partners = rows.filter(left & blank("phone").isNotNull() & blank("vpa").isNotNull()).groupBy(F.col("vpa").alias("_lone")).agg(F.min("phone").alias("_partner"))
-    rows = null_spread_join(rows.withColumn("_lone", F.when(left & blank("phone").isNull(), blank("vpa"))), partners, "_lone")
+    rows = lookup_join(rows.withColumn("_lone", F.when(left & blank("phone").isNull(), blank("vpa"))), partners, "_lone")
     derived = F.coalesce(blank("phone"), F.col("_partner"), blank("vpa"), blank("party_name"))
     node = F.when(F.col("_by_phone"), F.col("_phone")).otherwise(F.coalesce("_by_vpa", derived))
     by = F.when(F.col("_by_phone"), "phone").when(F.col("_by_vpa").isNotNull(), "vpa").when(derived.isNotNull(), "derived")
@@ -85,11 +85,11 @@ def attribute_messages(messages: DataFrame, members: DataFrame, keyed: DataFrame
     own = members.filter("member is not null").groupBy(F.col("member").alias("_other")).agg(first_by("connection").alias("_connection"), first_by("display_name").alias("_display"), F.min_by("on_app", F.when(F.col("on_app").isNotNull(), F.col("seq"))).alias("_on_app"))
     strangers = members.filter(~is_true(F.col("is_self"))).groupBy(F.col("group_id").alias("thread"))
     solo = strangers.agg(F.count(F.lit(1)).alias("n"), F.min("connection").alias("_solo"), F.min("display_name").alias("_solo_display"), any_true("on_app").alias("_solo_on_app")).filter((F.col("n") == 1) & filled(F.col("_solo")).isNotNull()).drop("n")
-    rows = null_spread_join(messages.withColumn("_other", other), own, "_other")
-    rows = null_spread_join(rows, solo, "thread")
+    rows = lookup_join(messages.withColumn("_other", other), own, "_other")
+    rows = lookup_join(rows, solo, "thread")
     connection = F.coalesce(filled(F.col("_connection")), F.col("_solo"))
     nodes = _first_node(keyed, "connection").withColumnRenamed("_found", "_node")
-    rows = null_spread_join(rows.withColumn("connection", connection), nodes, "connection")
+    rows = lookup_join(rows.withColumn("connection", connection), nodes, "connection")
     node = F.coalesce("_node", F.concat(F.lit("chat::conn::"), F.col("connection")), F.concat(F.lit("chat::thread::"), F.col("thread").cast("string")))
     label = F.coalesce(filled(F.col("_display")), F.col("_solo_display"))
     return rows.select(*messages.columns, "connection", node.alias("node_id"), label.alias("label"), F.coalesce("_on_app", "_solo_on_app").alias("on_app")).filter("node_id is not null")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tracelens.functions.values import is_true
-from tracelens.operators.skew import null_spread_join
+from tracelens.operators.skew import lookup_join
 
 
 def named_members(members: DataFrame, names: DataFrame) -> DataFrame:
     """``members`` with ``name``: the contact's by connection (connection, name), else the member's own name, else the connection, else the member id."""
     known = names.select("connection", F.col("name").alias("_known"))
-    return null_spread_join(members, known, "connection").withColumn("name", F.coalesce("_known", "own_name", "connection", F.col("member").cast("string"))).drop("_known")
+    return lookup_join(members, known, "connection").withColumn("name", F.coalesce("_known", "own_name", "connection", F.col("member").cast("string"))).drop("_known")
 
 
 def payers(members: DataFrame) -> DataFrame:

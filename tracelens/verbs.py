@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelens.functions.text import as_text
 from tracelens.functions.values import is_true, safe_double
@@ -38,7 +40,7 @@ def compare(c: Column, op: str, value: object) -> Column:
     """``<``, ``<=``, ``>`` or ``>=``: numbers with numbers, text with text; null or a mix is false."""
     ops = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
     number, given = safe_double(c), safe_double(F.lit(str(value)))
-    return is_true(F.when(given.isNotNull(), ops[op](number, given)).otherwise(ops[op](_text(c), F.lit(str(value)))))
+    return is_true(F.when(given.isNotNull(), ops[op](number, given)).when(number.isNull(), ops[op](_text(c), F.lit(str(value)))))
 
 
 def like(c: Column, glob: str) -> Column:
@@ -57,13 +59,27 @@ def like(c: Column, glob: str) -> Column:
     return is_true(_text(c).rlike("(?isu)^" + "".join(parts) + "\\z"))
 
 
-def matches(c: Column, pattern: str) -> Column:
-    """Regular-expression search in either case; an invalid or overlong pattern matches nothing."""
+def _java_pattern(pattern: str) -> str | None:
+    """The pattern as Spark's engine writes it, or None if it is not valid in both dialects."""
     try:
         re.compile(pattern)
     except re.error:
-        return F.lit(False)
-    return F.lit(False) if len(pattern) > MOST_PATTERN else is_true(_text(c).rlike(f"(?i){pattern}"))
+        return None
+    # names of groups, references to them, and the end of the text are written differently
+    java = re.sub(r"(?<!\\)((?:\\\\)*)\(\?P<", r"\1(?<", pattern)
+    java = re.sub(r"(?<!\\)((?:\\\\)*)\(\?P=(\w+)\)", r"\1\\k<\2>", java)
+    java = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", java)
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(java)
+    except (IllegalArgumentException, Py4JJavaError):
+        return None
+    return java
+
+
+def matches(c: Column, pattern: str) -> Column:
+    """Regular-expression search in either case; an overlong pattern, and one that is not valid both in Python and in Spark's engine, matches nothing."""
+    java = _java_pattern(pattern) if len(pattern) <= MOST_PATTERN else None
+    return F.lit(False) if java is None else is_true(_text(c).rlike(f"(?i){java}"))
 
 
 def contains(c: Column, value: str) -> Column:
@@ -176,4 +192,7 @@ def table(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def rename(df: DataFrame, old: str, new: str) -> DataFrame:
-    return df.withColumnRenamed(old, new)
+    """``old`` under the name ``new``, in place of a column that had it; without ``old`` nothing changes."""
+    if old not in df.columns or old == new:
+        return df
+    return df.drop(new).withColumnRenamed(old, new)
