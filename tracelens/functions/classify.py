@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracelens.functions.identity import psp
 from tracelens.functions.payload import Leg, at, kind_at, long_at, text_at
 from tracelens.functions.values import filled
+from tracelens.operators.skew import dim_join
 
 # Initiation mode codes.
 INITIATION_MODES = {
@@ -151,7 +152,7 @@ def attribute_app(df: DataFrame, address: str, handles: DataFrame, prefix: str)
     dim = handles.select(
         F.col("handle").alias(key), F.col("label").alias("_label"), F.col("source").alias("_source"), F.col("own_handle").alias("_own")
     )
-    joined = df.withColumn(key, psp(F.col(address))).join(dim, key, "left")
+    joined = dim_join(df.withColumn(key, psp(F.col(address))), dim, key)
     return joined.withColumns(
         {
             f"{prefix}_app_label": F.when(F.col(key).isNull(), "No VPA").otherwise(
@@ -167,12 +168,9 @@ def resolve_bank(df: DataFrame, banks: DataFrame, bank_id: str = "bank_id", ifsc
     """Add ``bank_name``: by bank id, by branch-code prefix, by full branch prefix, else a derived label."""
     master = banks.groupBy("bank_id").agg(F.min("bank_name").alias("_name"))
     by_prefix = banks.filter(F.col("ifsc_prefix") != "").groupBy("ifsc_prefix").agg(F.min("bank_name").alias("_by_full"))
-    out = (
-        df.withColumn("_code4", F.substring(F.col(ifsc), 1, 4))
-        .join(master.select(F.col("bank_id").alias(bank_id), F.col("_name").alias("_by_id")), bank_id, "left")
-        .join(master.select(F.col("bank_id").alias("_code4"), F.col("_name").alias("_by_code")), "_code4", "left")
-        .join(by_prefix.withColumnRenamed("ifsc_prefix", ifsc), ifsc, "left")
-    )
+    out = dim_join(df.withColumn("_code4", F.substring(F.col(ifsc), 1, 4)), master.select(F.col("bank_id").alias(bank_id), F.col("_name").alias("_by_id")), bank_id)
+    out = dim_join(out, master.select(F.col("bank_id").alias("_code4"), F.col("_name").alias("_by_code")), "_code4")
+    out = dim_join(out, by_prefix.withColumnRenamed("ifsc_prefix", ifsc), ifsc)
     return out.withColumn(
         "bank_name",
         F.coalesce(

@@ -42,3 +42,17 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     own = F.xxhash64(F.col(key).cast("string"))
     left = facts.withColumn("_deal", F.when(F.col(key).isNull(), F.xxhash64(*plain)).otherwise(own))
     return left.join(dim.withColumn("_deal", own), [key, "_deal"], "left").drop("_deal")
+
+
+#: Rows up to which a dimension is broadcast. A larger one is joined by its key.
+SMALL_DIM = 50_000
+
+
+def dim_join(facts: DataFrame, dim: DataFrame, key: str, most: int = SMALL_DIM) -> DataFrame:
+    """Left equi-join to a dimension (unique on ``key``): broadcast, so that the facts stay where they are, if it has no more than ``most`` rows, else by lookup.
+
+    The size is counted before the plan is made, ``most`` + 1 rows of the dimension at most.
+    """
+    if dim.limit(most + 1).count() <= most:
+        return facts.join(F.broadcast(dim), key, "left")
+    return lookup_join(facts, dim, key)
