@@ -2,48 +2,43 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelens.operators.scan import running_last, with_neighbours, with_row_index
 from tracelens.operators.skew import null_spread_join
 from tracelens.session import materialise
 
-SMALL_SESSION = 20_000        # rows of one session that a single task may finish
 CHUNK = 65_536                # ranks expanded per row when runs of matches become pairs
 
 
-def match_one_to_one(left: DataFrame, right: DataFrame, window_ms: int, small_session: int = SMALL_SESSION) -> DataFrame:
+def match_one_to_one(left: DataFrame, right: DataFrame, window_ms: int) -> DataFrame:
     """Pairs ``(left_pos, right_pos, gap_ms)``.
 
     Both inputs carry ``(key, ts_ms, pos)`` with ``pos`` unique per side.  Pairs are taken in the
     total order ``(gap_ms, left_pos, right_pos)`` and each row is used at most once.
 
     Rows of one key whose neighbours in time are within the window form a session; no pair
-    crosses sessions.  Sessions with a single row on one side are a plain aggregate, other small
-    ones are finished inside one task, and large ones (a hot amount) are reduced in parallel by
-    taking all locally best pairs per round until nothing is left.  No step lists all pairs.
+    crosses sessions.  Sessions with a single row on one side are a plain aggregate, all others, of
+    whatever size, are reduced side by side by taking all locally best pairs per round until nothing
+    is left.  No step lists all pairs, and no session is held by one task.
     """
     rows = _sessions(left, right, window_ms)
     sizes = rows.groupBy("session").agg(
         F.sum(1 - F.col("side")).alias("n_left"), F.sum("side").alias("n_right")
     ).filter("n_left > 0 and n_right > 0")
     sizes = materialise(sizes)
-    single = sizes.filter("least(n_left, n_right) = 1")
-    several = sizes.filter(f"least(n_left, n_right) > 1 and n_left + n_right <= {small_session}")
-    large = sizes.filter(f"least(n_left, n_right) > 1 and n_left + n_right > {small_session}")
-    pairs = _single_sided(rows, single).unionByName(
-        rows.join(several.select("session"), "session")
-        .select("session", "ts_ms", "side", "pos")
-        .groupBy("session")
-        .applyInPandas(_greedy_for(window_ms), "left_pos long, right_pos long, gap_ms long")
-    )
-    if large.isEmpty():
+    pairs = _single_sided(rows, sizes.filter("least(n_left, n_right) = 1"))
+    several = sizes.filter("least(n_left, n_right) > 1")
+    if several.isEmpty():
         return pairs
-    return pairs.unionByName(_parallel_rounds(rows.join(large.select("session"), "session"), window_ms))
+    return pairs.unionByName(_parallel_rounds(rows.join(several.select("session"), "session"), window_ms))
+
+
+def match_summary(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: rows of the left side that a pair confirms, those that none does, and rows of the right side alone; rows without key or time count."""
+    counted = pairs.agg(F.count(F.lit(1)).alias("confirmed"))
+    n = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return counted.select("confirmed", (n(left) - F.col("confirmed")).alias("uncorroborated"), (n(right) - F.col("confirmed")).alias("only_right"), n(right).alias("n_right"))
 
 
 def _sessions(left: DataFrame, right: DataFrame, window_ms: int) -> DataFrame:
@@ -81,66 +76,8 @@ def _single_sided(rows: DataFrame, single: DataFrame) -> DataFrame:
     return best.select("b.left_pos", "b.right_pos", "b.gap_ms")
 
 
-def _greedy_for(window_ms: int):
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Nearest-first matching of one session with a heap over adjacent moments."""
-        queues: list[deque] = []
-        moments: list[tuple[int, int]] = []
-        for ts, side, pos in pdf.sort_values(["ts_ms", "side", "pos"])[["ts_ms", "side", "pos"]].itertuples(index=False):
-            if not moments or moments[-1] != (ts, side):
-                moments.append((ts, side))
-                queues.append(deque())
-            queues[-1].append(pos)
-        last = len(moments) - 1
-        before = list(range(-1, last))
-        after = list(range(1, last + 2))
-        heap: list[tuple] = []
-
-        def offer(a: int, b: int) -> None:
-            if a < 0 or b > last or moments[a][1] == moments[b][1]:
-                return
-            gap = moments[b][0] - moments[a][0]
-            if gap <= window_ms:
-                lo, hi = (a, b) if moments[a][1] == 0 else (b, a)
-                heapq.heappush(heap, (gap, queues[lo][0], queues[hi][0], a, b))
-
-        for i in range(last):
-            offer(i, i + 1)
-        out = []
-        while heap:
-            gap, lpos, rpos, a, b = heapq.heappop(heap)
-            lo, hi = (a, b) if moments[a][1] == 0 else (b, a)
-            if after[a] != b or not queues[a] or not queues[b] or queues[lo][0] != lpos or queues[hi][0] != rpos:
-                continue
-            out.append((lpos, rpos, gap))
-            queues[a].popleft()
-            queues[b].popleft()
-            left_end, right_end = a, b
-            if not queues[a]:
-                left_end = before[a]
-            if not queues[b]:
-                right_end = after[b]
-            if not queues[a] or not queues[b]:
-                lo_end = left_end if not queues[a] else a
-                hi_end = right_end if not queues[b] else b
-                if lo_end >= 0:
-                    after[lo_end] = hi_end
-                if hi_end <= last:
-                    before[hi_end] = lo_end
-            else:
-                lo_end, hi_end = a, b
-            offer(lo_end, hi_end)
-            if queues[a]:
-                offer(before[a], a)
-            if queues[b]:
-                offer(b, after[b])
-        return pd.DataFrame(out, columns=["left_pos", "right_pos", "gap_ms"])
-
-    return greedy
-
-
 def _parallel_rounds(rows: DataFrame, window_ms: int) -> DataFrame:
-    """Match large sessions by rounds over *moments*: rows of one side with equal key and time.
+    """Match sessions by rounds over *moments*: rows of one side with equal key and time.
 
     A moment is a queue in ``pos`` order of which the first ``used`` rows are taken.  In each
     round every pair of adjacent moments that is best for both ends matches: as many rows as the
