@@ -14,6 +14,7 @@ import tracelens.demo.records  # noqa: F401
 import tracelens.demo.recovery  # noqa: F401
 import tracelens.demo.relations  # noqa: F401
 import tracelens.demo.signals  # noqa: F401
+import tracelens.demo.stores  # noqa: F401
 from tracelens.demo.queries import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
