@@ -9,6 +9,7 @@ import pytest
 import tracelens.demo.ledger  # noqa: F401  registers its queries
 import tracelens.demo.lists  # noqa: F401
 import tracelens.demo.more  # noqa: F401
+import tracelens.demo.overview  # noqa: F401
 import tracelens.demo.people  # noqa: F401
 import tracelens.demo.records  # noqa: F401
 import tracelens.demo.recovery  # noqa: F401
