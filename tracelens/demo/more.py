@@ -151,11 +151,11 @@ def learned_domains(spark, sf_dir):
 
 
 @register("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey % 4 <> 0 AND b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey)
-  AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey % 4 <> 0 AND b.l_suppkey = a.l_suppkey AND b.l_quantity = a.l_quantity)""")
+  AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey % 4 <> 0 AND b.l_suppkey = a.l_suppkey AND b.l_quantity = a.l_quantity AND b.l_returnflag = a.l_returnflag AND b.l_tax = a.l_tax AND b.l_discount = a.l_discount)""")
 def not_live(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_tax", "l_discount")
     c = F.col
-    left = reports.not_live(li, li.filter("l_orderkey % 4 <> 0"), [[c("l_partkey"), c("l_suppkey")], [c("l_suppkey"), c("l_quantity")]])
+    left = reports.not_live(li, li.filter("l_orderkey % 4 <> 0"), [[c("l_partkey"), c("l_suppkey")], [c("l_suppkey"), c("l_quantity"), c("l_returnflag"), c("l_tax"), c("l_discount")]])
     return left.select("l_orderkey", "l_linenumber", "l_partkey")
 
 

@@ -118,9 +118,10 @@ def dedup_first(spark, sf_dir):
     return verbs.dedup(payments(spark, sf_dir), "party", "id")
 
 
-@register(f"WITH {_T} SELECT id, party AS counterparty, CAST(NULL AS VARCHAR) AS note FROM t")
+@register(f"WITH {_T} SELECT id, party AS type, CAST(NULL AS VARCHAR) AS note FROM t")
 def table_rename(spark, sf_dir):
-    return verbs.rename(verbs.table(payments(spark, sf_dir), ["id", "party", "note"]), "party", "counterparty")
+    """Listed columns, of which one is absent, and one takes the name of another."""
+    return verbs.rename(verbs.table(payments(spark, sf_dir), ["id", "type", "party", "note"]), "party", "type")
 
 
 @register(f"WITH {_T} SELECT * FROM t WHERE direction = 'IN' AND state = 'COMPLETED' AND paise BETWEEN 10000000 AND 30000000")
@@ -210,11 +211,6 @@ def contact_activity(spark, sf_dir):
     return people.join(flows, "party", "left").fillna(0)
 
 
-@register("SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem WHERE l_quantity = 50 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
-def unambiguous_index(spark, sf_dir):
-    return pay.unambiguous(table(spark, sf_dir, "lineitem").filter("l_quantity = 50"), "l_partkey", "l_suppkey")
-
-
 @register("SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
 def unambiguous_index_whole(spark, sf_dir):
     """Over all rows, of which every l_partkey has several suppliers."""

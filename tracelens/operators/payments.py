@@ -12,10 +12,11 @@ from tracelens.operators.skew import pick_first
 
 
 def canonicalise(rows: DataFrame, group: str, row_id: str, priority: Column) -> DataFrame:
-    """One row for each group: the highest priority, then the smallest id; ``n_aliases`` counts the others."""
-    counted = rows.groupBy(group).agg((F.count(F.lit(1)) - 1).alias("n_aliases"))
-    best = pick_first(rows.withColumn("_rank", F.struct((-priority).alias("p"), F.col(row_id).alias("i"))), [group], F.col("_rank"))
-    return best.drop("_rank").join(counted, group)
+    """One row for each group: the highest priority, then the smallest id; ``n_aliases`` counts the others. One aggregate, combined before the shuffle."""
+    fields = [c for c in rows.columns if c != group]
+    rank = F.struct((-priority).alias("p"), F.col(row_id).alias("i"))
+    best = rows.groupBy(group).agg(F.min_by(F.struct(*fields), rank).alias("_row"), (F.count(F.lit(1)) - 1).alias("n_aliases"))
+    return best.select(group, "_row.*", "n_aliases")
 
 
 def id_map(rows: DataFrame, group: str, row_id: str, priority: Column) -> DataFrame:
@@ -138,9 +139,9 @@ def corroboration(sources: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
 
 def retention_verdict(missing: DataFrame, ledger: DataFrame) -> DataFrame:
     """Payments that the ledger lacks: before its oldest row, inside its window, or undated."""
-    oldest = ledger.agg(F.min("ms")).first()[0]
-    verdict = F.when(F.col("ms").isNull(), "undated").when(F.col("ms") < F.lit(oldest), "before window").otherwise("inside window")
-    return missing.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    dated = missing.withColumn("_oldest", ledger.agg(F.min("ms")).scalar())
+    verdict = F.when(F.col("ms").isNull(), "undated").when(F.col("ms") < F.col("_oldest"), "before window").otherwise("inside window")
+    return dated.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Findings on payments: rule, severity, and what it counts. High value is 50 000 rupees.

@@ -83,10 +83,12 @@ def learn_domains(live: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def not_live(recovered: DataFrame, live: DataFrame, keys: Sequence[Sequence[Column]]) -> DataFrame:
-    """Recovered rows that no live row equals in any of the keys (whole row, its head, its tail)."""
+    """Recovered rows that no live row equals in any of the keys (whole row, its head, its tail); values are compared, null with null."""
     for columns in keys:
-        digest = F.xxhash64(*columns).alias("_print")
-        recovered = recovered.withColumn("_print", digest).join(live.select(digest).distinct(), "_print", "left_anti").drop("_print")
+        parts = {f"_k{i}": c for i, c in enumerate(columns)}
+        known = live.select(*[c.alias(k) for k, c in parts.items()]).distinct().toDF(*[f"{k}_live" for k in parts])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_live")) for k in parts])
+        recovered = recovered.withColumns(parts).join(known, same, "left_anti").drop(*parts)
     return recovered
 
 
