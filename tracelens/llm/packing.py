@@ -1,10 +1,10 @@
-"""Packing token sequences into training windows: best-fit decreasing, shard by shard.
+"""Packing token sequences into training windows: best-fit decreasing, block by block.
 
 Each text becomes token ids and an end id.  Overlong documents are first cut into full windows;
 what is left of each goes into the open window with the least room that still takes it, longest first.
-A segment tree over remaining capacities finds that window in log2(window) steps.  Pieces are dealt by hash to
-shards of about a thousand, so a hot source or a huge document spreads, a shard's work is bounded
-and a lost shard is packed again the same way.
+A segment tree over remaining capacities finds that window in log2(window) steps.  A task packs the pieces
+that it cuts itself, a block of some thousand at a time: ids are neither written nor shuffled before they are packed,
+equal rows and hot sources fill blocks like any others, and a lost task packs its part again the same way.
 """
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from tokenizers import Tokenizer
 
-from tracelens.session import materialise
-
 WINDOW = 1024
 END_ID = 0
-#: Pieces of one shard on average: enough that the few windows left open at its end are below 1 %.
-SHARD_PIECES = 1_000
+#: Pieces packed together: enough that the few windows left open at a block's end are below 1 %; their ids take some MB.
+BLOCK_PIECES = 4_000
 #: Words a worker remembers the ids of, and characters it splits at a time.
 KEPT_WORDS, SPLIT_CHARS = 1_200_000, 1 << 20
 _OPEN_SPACE = re.compile(r" (?:\s|\Z)")
@@ -112,9 +112,8 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, with_ids: bo
             for at in range(0, len(blob), step):
                 piece = blob[at : at + step]
                 out.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None))
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PIECE, strict=True)], schema=_PIECE)
 
 
 class OpenWindows:
@@ -167,33 +166,49 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return where, offset
 
 
-def _pack_shard(rows: pa.Table, window: int) -> pa.Table:
-    rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-    where, offset = best_fit(rows.column("length").to_numpy(), window)
-    shard = rows.column("shard")[0].as_py()
-    return rows.drop_columns(["shard"]).append_column("sequence_id", pa.array((shard << 32) + where)).append_column("offset", pa.array(offset))
+_PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("ids", pa.binary())])
+_PACKED = pa.schema([*_PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def token_pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens and ids (binary) of each document's full windows and rest."""
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        lambda b: _cut(b, tokenizer, window, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    )
+def packed_blocks(pieces: Iterator[pa.RecordBatch], window: int, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """Pieces with sequence_id, counted from ``first``, and offset; a block of ``BLOCK_PIECES`` is held at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
 
+    def block(table: pa.Table) -> pa.Table:
+        nonlocal first
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        where, offset = best_fit(table.column("length").to_numpy(), window)
+        out = table.append_column("sequence_id", pa.array(first + where)).append_column("offset", pa.array(offset))
+        first += int(where.max()) + 1
+        return out
 
-def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The pieces with sequence_id and offset: in each sequence they lie without gaps from 0 and end by ``window``."""
-    pieces = materialise(pieces)
-    shards = pieces.count() // SHARD_PIECES + 1
-    shard: Column = F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(shards))
-    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(lambda rows: _pack_shard(rows, window), schema)
+    for batch in pieces:
+        while batch.num_rows:
+            part = batch.slice(0, BLOCK_PIECES - rows)
+            batch = batch.slice(len(part))
+            held.append(part)
+            rows += len(part)
+            if rows == BLOCK_PIECES:
+                yield from block(pa.Table.from_batches(held, _PIECE)).to_batches()
+                held, rows = [], 0
+    if rows:
+        yield from block(pa.Table.from_batches(held, _PIECE)).to_batches()
+
+
+def token_pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens and ids (binary) of each document's full windows and rest."""
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _cut(b, tokenizer, window, with_ids), from_arrow_schema(_PIECE))
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
-    """Every token of every row of ``documents`` in exactly one piece of one sequence.
+    """Every token of every row of ``documents`` in exactly one piece of one sequence, pieces without gaps from 0.
 
-    Null and empty texts are the end id alone; a null doc_id stays null; equal rows are packed as often as they come;
+    Sequences hold pieces of one input partition; their numbers begin with that of the partition.  Null and empty texts are the end id alone; a null doc_id stays null; equal rows are packed as often as they come;
     an empty table gives no rows; columns other than doc_id and text are not read.
     """
-    return pack(token_pieces(documents, tokenizer, window, with_ids), window)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed_blocks(_cut(batches, tokenizer, window, with_ids), window, TaskContext.get().partitionId() << 32)
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(packed, from_arrow_schema(_PACKED))
