@@ -19,7 +19,7 @@ import tracelens.demo.stores  # noqa: F401
 from tracelens.demo.queries import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")

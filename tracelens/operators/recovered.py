@@ -79,7 +79,7 @@ def out_of_domain(recovered: DataFrame, domains: DataFrame) -> DataFrame:
     cells = recovered.select("seq", F.col("tables")[0].alias("table"), F.posexplode(F.arrays_zip("columns", "values")).alias("at", "cell"))
     numbers = cells.filter(F.col("cell.values").startswith("i")).select("seq", "at", "table", F.col("cell.columns").alias("column"), F.substring("cell.values", 2, 40).cast("long").alias("number"))
     strange = numbers.join(domains, ["table", "column"]).filter(~F.array_contains("domain", F.col("number")))
-    named = strange.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "column"))), lambda x: x["column"]).alias("implausible"))
+    named = strange.groupBy("seq").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "column"))), lambda x: x["column"]).alias("implausible"))
     return recovered.join(named, "seq", "left").withColumn("implausible", F.coalesce("implausible", F.array().cast("array<string>")))
 
 
