@@ -2,6 +2,7 @@ import datetime
 import random
 
 from tracelens.demo.queries import QUERIES
+from tracelens.operators import components
 from tracelens.operators.components import connected_components
 
 
@@ -36,3 +37,20 @@ def test_component_clusters_takes_every_row(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_shipdate timestamp, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.node: r.component for r in QUERIES["component_clusters"](spark, str(tmp_path)).collect()}
     assert got == partition([(f"order:{o}", f"shipping:{s}:{d:%Y-%m-%d}") for o, s, d, _ in rows])
+
+
+def test_components_by_rounds_and_in_one_task_are_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(f"{k:04d}", f"{k + 1:04d}") for k in range(300)] + [(f"r{rng.randrange(200)}", f"r{rng.randrange(200)}") for _ in range(120)]
+    edges += [("hub", f"h{k}") for k in range(50)] + [("alone", "alone"), ("x", None)]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    expected = partition([e for e in edges if None not in e])
+    # nothing of 300 links in a row may need more than a few rounds, as every one is written
+    written, write = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda x: written.append(1) or write(x))
+    for most in (components.TASK_EDGES, 0):
+        monkeypatch.setattr(components, "TASK_EDGES", most)
+        assert {r.node: r.component for r in connected_components(df).collect()} == expected
+        if most:
+            assert len(written) <= 5
+    assert len(written) < 50
