@@ -66,3 +66,17 @@ def test_confidence(spark):
     }
     assert {r.seq: r.row_json for r in rec.packed(graded).collect()}[3] == '{"a":null,"b":"x"}'
     assert [r.seq for r in rec.recovered_view(graded, "T", "X").orderBy("seq").collect()] == [2, 4]
+
+
+def test_recovered_rows_are_dealt_out_without_a_written_table(spark, monkeypatch):
+    from tracelens import session
+
+    monkeypatch.setattr(session, "fresh_path", None)
+    schema = "seq string, tables array<string>, values array<string>, reliable int, lost int"
+    rows = [
+        ("a", ["t"], ["i1", "tx"], None, 0), ("b", ["t"], ["i1", "ty"], None, 0), ("c", ["t"], ["i1", "ty"], None, 0), ("d", ["u"], ["i1", "tx"], None, 0), ("e", ["u", "t"], ["i1", "tx"], None, 0),
+        ("f", None, ["i7"], None, 0), ("g", [], ["i8"], None, 0), ("h", ["t"], ["i", "1tx"], None, 0), ("i", ["t"], ["i9", "tx"], None, 1), ("j", ["t"], ["i1", "zz"], 1, 0), ("k", ["u", "v"], ["i2", "0"], None, 0),
+    ]
+    live = spark.createDataFrame([("t", ["i1", "tx"]), ("v", ["i2", "tx"])], "table string, values array<string>")
+    left = rec.not_live(spark.createDataFrame(rows, schema), live)
+    assert sorted(r.seq for r in left.select("seq").collect()) == ["b", "d", "f", "g", "h", "k"]

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelens.functions.values import is_true
 from tracelens.operators.skew import pick_first
-from tracelens.session import materialise
 
 #: Leading bytes of a binary value that are compared, and decimals of a fraction. Fixed values.
 BLOB_BYTES, DECIMALS = 64, 6
@@ -47,27 +46,50 @@ def _form(recovered: DataFrame) -> DataFrame:
     return formed.withColumn("print", _part(F.col("values"), F.col("side"), F.col("k")))
 
 
+def _key(table: Column, side: Column, k: Column, values: Column) -> Column:
+    """Table, side, width and compared values as one text in which only equal ones are equal: each value with its length before it; null without a table."""
+    cells = F.transform(values, lambda v: F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")))
+    return F.concat(F.array_join(cells, ""), side, k.cast("string"), F.lit(" "), table)
+
+
+def _known(formed: DataFrame, live: DataFrame) -> DataFrame:
+    """(key) of the live rows, each once, in just the widths that occur for their table, at most two for each column."""
+    forms = formed.select(F.explode("tables").alias("table"), "side", "k").distinct()
+    side, k = F.col("side"), F.col("k")
+    return live.join(F.broadcast(forms), "table").select(_key(F.col("table"), side, k, _part(F.col("values"), side, k)).alias("key")).distinct()
+
+
 def still_live(recovered: DataFrame, live: DataFrame) -> DataFrame:
     """(seq) of the recovered rows that some live row of one of their tables equals on the compared values.
 
     ``recovered``: (seq, tables, values, reliable, lost); an overflow row has only ``reliable`` leading values, a row with a damaged head lacks its first ``lost``.
-    ``live``: (table, values).  Live rows are compared in just the widths that occur for their table, at most two for each column; values themselves are joined, so
-    that no collision can hide a row, and the hash before them only makes the sort cheap.
+    ``live``: (table, values).  The values themselves are joined, as one text, so that no collision can hide a row.
     """
-    asked = _form(recovered).select("seq", F.explode("tables").alias("table"), "side", "k", "print")
-    forms = asked.select("table", "side", "k").distinct()
-    widths = live.join(forms, "table").select("table", "side", "k", _part(F.col("values"), F.col("side"), F.col("k")).alias("print"))
-    keys = ["hash", "table", "side", "k", "print"]
-    hashed = lambda df: df.withColumn("hash", F.xxhash64("table", "side", "k", "print"))
-    # one row for each key, written: a key that a third of the live rows share then splits on the other side
-    known = materialise(hashed(widths).select(*keys).distinct())
-    return hashed(asked).join(known, keys, "left_semi").select("seq").distinct()
+    formed = _form(recovered)
+    return _live_of(formed, _known(formed, live))
+
+
+def _live_of(formed: DataFrame, known: DataFrame) -> DataFrame:
+    asked = formed.select("seq", F.explode("tables").alias("table"), "side", "k", "print")
+    return asked.select("seq", _key(F.col("table"), F.col("side"), F.col("k"), F.col("print")).alias("key")).join(known.hint("merge"), "key", "left_semi").select("seq").distinct()
 
 
 def not_live(recovered: DataFrame, live: DataFrame) -> DataFrame:
-    """The recovered rows that are not live, each set of compared values once, by the least seq; without values nothing is compared."""
-    gone = recovered.join(still_live(recovered, live), "seq", "left_anti")
-    return pick_first(_form(gone), ["print"], F.col("seq")).select(*recovered.columns)
+    """The recovered rows that are not live, each set of compared values once, by the least seq; without values nothing is compared.
+
+    Rows of one table go to the live keys themselves, equal ones as one row, so that they are dealt out once and no key is hot on either side; only rows
+    of several tables are told by their seq.
+    """
+    formed = _form(recovered)
+    known = _known(formed, live)
+    several = F.coalesce(F.size("tables"), F.lit(0)) > 1
+    alone = formed.filter(~several)
+    key = F.coalesce(_key(F.get("tables", F.lit(0)), F.col("side"), F.col("k"), F.col("print")), F.concat(F.lit("no table "), _key(F.lit(""), F.lit(""), F.lit(0), F.col("print"))))
+    once = pick_first(alone.withColumn("key", key), ["key"], F.col("seq"), recovered.columns)
+    apart = once.join(known.hint("merge"), "key", "left_anti").select(*recovered.columns)
+    shared = formed.filter(several)
+    shared = shared.join(_live_of(shared, known).hint("merge"), "seq", "left_anti").select(*recovered.columns)
+    return pick_first(_form(apart.unionByName(shared)), ["print"], F.col("seq")).select(*recovered.columns)
 
 
 def out_of_domain(recovered: DataFrame, domains: DataFrame) -> DataFrame:
