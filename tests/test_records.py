@@ -137,3 +137,17 @@ def test_expense_totals(spark):
     entries, settled = spark.createDataFrame([(1,), (2,), (3,)], "expense long"), spark.createDataFrame([(1, "p1"), (1, "p2")], "expense long, payment string")
     rows = {r.expense: (r.payer, r.total, r.settlement, r.n_members) for r in shared.expenses(entries, members, settled).collect()}
     assert rows == {1: ("b", 99, "p2", 3), 2: (None, 7, None, 2), 3: (None, 0, None, 0)}
+
+
+def test_payloads_do_not_travel_through_the_lookups_of_leg_transactions(spark):
+    from tracelens.demo.queries import QUERIES
+    import tracelens.demo.stores  # noqa: F401
+
+    def joins(node):
+        of = lambda seq: [seq.apply(k) for k in range(seq.size())]
+        found = [[a.dataType().simpleString() for a in of(node.output())]] if node.nodeName() == "Join" else []
+        return found + [j for child in of(node.children()) for j in joins(child)]
+
+    carried = joins(QUERIES["leg_transactions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
+    # those who pay and are paid are asked for by the payload itself
+    assert len(carried) >= 6 and sum("variant" in kinds for kinds in carried) <= 2

@@ -74,22 +74,32 @@ def leg_transactions(rows: DataFrame, tags: DataFrame, tokens: DataFrame, own_me
     ready = ready.withColumns({"paise": paise, "cp_phone": phone, "cp_vpa": address, "masked": hidden, "cp_name": F.coalesce(stated, F.when(hidden, F.coalesce(phone, address, shown)).otherwise(filled(shown)), contact)})
     veiled = F.col("masked") | is_masked(F.col("cp_name"))
     ready = ready.withColumns({"_phone": F.when(veiled & ~is_masked(F.col("cp_phone")), norm_phone(F.col("cp_phone"))), "_vpa": F.when(veiled & ~is_masked(F.col("cp_vpa")), F.lower("cp_vpa"))})
-    dim = lambda df, key, to: df.select(F.col(key).alias(to), F.struct("name", "full_phone").alias(f"{to}_hit"))
-    ready = lookup_join(lookup_join(ready, dim(by_phone, "phone", "_phone"), "_phone"), dim(by_address, "address", "_vpa"), "_vpa")
-    ready = lookup_join(ready.withColumn("_member", F.when(F.col("cp_name").isNull(), F.col("other_member"))), dim(by_member.withColumn("member", F.col("member").cast("string")), "member", "_member"), "_member")
-    ready = lookup_join(lookup_join(ready, tag_fields(tags, "ref", LEG_TAGS), "ref"), search_tokens(tokens, "ref"), "ref")
-    hit = F.coalesce(F.when(filled(F.col("_phone_hit.name")).isNotNull(), F.struct(F.col("_phone_hit.name").alias("name"), F.col("_phone_hit.full_phone").alias("full"), F.lit("phone").alias("by"))), F.when(filled(F.col("_vpa_hit.name")).isNotNull(), F.struct(F.col("_vpa_hit.name").alias("name"), F.col("_vpa_hit.full_phone").alias("full"), F.lit("address").alias("by"))))
     merchant = is_true(at(cp, "type") == "MERCHANT")
     house = is_true(at(cp, "firstPartyMerchant") == "true")
-    started = at(v, "context.initiationMode")
-    return ready.withColumn("hit", hit).select(
-        "id", F.coalesce(text_at(v, "globalPaymentId"), filled(F.col("payment_reference")), F.col("id")).alias("global_id"), "type", F.coalesce("state", F.lit("UNKNOWN")).alias("state"), "direction", "paise", "category", "received_in_type",
+    # what the payloads say is read before the lookups, which then carry plain values and neither payloads nor legs
+    said = ready.select(
+        "id", F.coalesce(text_at(v, "globalPaymentId"), filled(F.col("payment_reference")), F.col("id")).alias("global_id"), "type", F.coalesce("state", F.lit("UNKNOWN")).alias("state"), "direction", "paise", "cp_name", "cp_phone", "cp_vpa",
+        at(cp, "userId").alias("counterparty_user_id"), rules.classify_by_leg(at(cp, "type"), house, F.col("type")).alias("classification"),
+        at(mine, "accountHolderName").alias("self_holder"), at(mine, "accountNumber").alias("self_account"), at(mine, "vpa").alias("self_vpa"), at(mine, "ifsc").alias("self_ifsc"), at(mine, "utr").alias("utr"), text_at(v, "context.transferMode").alias("stated_mode"),
+        at(v, "context.initiationMode").alias("initiation_mode"), rules.stated_mode(v, "QR_SCAN").alias("is_qr_scan"), rules.stated_mode(v, "INTENT").alias("is_intent"), F.coalesce(text_at(v, "responseCode"), at(mine, "transactionResponseCode")).alias("response_code"), F.when(merchant, at(cp, "merchantId")).alias("merchant_id"),
+        F.when(merchant, first_filled(shown, at(cp, "merchantId"))).when(house, at(cp, "accountHolderName")).alias("merchant_name"), norm_ms(F.col("created")).alias("ms"), norm_ms(F.col("updated")).alias("updated_ms"),
+        decode_id_ts(first_filled(F.col("id"), F.col("payment_reference"))).alias("id_ms"), F.when(F.col("show_on_history").isNull(), False).otherwise(~is_true(tri_bool(F.col("show_on_history")))).alias("dismissed"),
+        "ref", "_phone", "_vpa", F.when(F.col("cp_name").isNull(), F.col("other_member")).alias("_member"),
+    )
+    dim = lambda df, key, to: df.select(F.col(key).alias(to), F.struct("name", "full_phone").alias(f"{to}_hit"))
+    said = lookup_join(lookup_join(said, dim(by_phone, "phone", "_phone"), "_phone"), dim(by_address, "address", "_vpa"), "_vpa")
+    said = lookup_join(said, dim(by_member.withColumn("member", F.col("member").cast("string")), "member", "_member"), "_member")
+    told = tag_fields(tags, "ref", LEG_TAGS).join(search_tokens(tokens, "ref"), "ref", "full")
+    said = lookup_join(said, told, "ref")
+    hit = F.coalesce(F.when(filled(F.col("_phone_hit.name")).isNotNull(), F.struct(F.col("_phone_hit.name").alias("name"), F.col("_phone_hit.full_phone").alias("full"), F.lit("phone").alias("by"))), F.when(filled(F.col("_vpa_hit.name")).isNotNull(), F.struct(F.col("_vpa_hit.name").alias("name"), F.col("_vpa_hit.full_phone").alias("full"), F.lit("address").alias("by"))))
+    return said.withColumn("hit", hit).select(
+        "id", "global_id", "type", "state", "direction", "paise", "category", "received_in_type",
         F.coalesce("cp_name", "_member_hit.name").alias("counterparty"), F.col("hit.name").alias("resolved"), F.col("hit.by").alias("resolved_by"), F.when(F.col("hit").isNotNull(), F.coalesce("hit.full", F.when(~is_masked(F.col("cp_phone")), F.col("cp_phone")))).alias("phone_full"),
-        F.coalesce("cp_phone", "_member_hit.full_phone").alias("counterparty_phone"), F.col("cp_vpa").alias("counterparty_vpa"), at(cp, "userId").alias("counterparty_user_id"), rules.classify_by_leg(at(cp, "type"), house, F.col("type")).alias("classification"),
-        at(mine, "accountHolderName").alias("self_holder"), at(mine, "accountNumber").alias("self_account"), at(mine, "vpa").alias("self_vpa"), at(mine, "ifsc").alias("self_ifsc"), at(mine, "utr").alias("utr"), F.coalesce(text_at(v, "context.transferMode"), F.col("mode_tag")).alias("transfer_mode"),
-        started.alias("initiation_mode"), rules.stated_mode(v, "QR_SCAN").alias("is_qr_scan"), rules.stated_mode(v, "INTENT").alias("is_intent"), F.coalesce(text_at(v, "responseCode"), at(mine, "transactionResponseCode")).alias("response_code"), F.when(merchant, at(cp, "merchantId")).alias("merchant_id"),
-        F.when(merchant, first_filled(shown, at(cp, "merchantId"))).when(house, at(cp, "accountHolderName")).alias("merchant_name"), F.coalesce("search_text", F.lit("")).alias("search_text"), norm_ms(F.col("created")).alias("ms"), norm_ms(F.col("updated")).alias("updated_ms"),
-        decode_id_ts(first_filled(F.col("id"), F.col("payment_reference"))).alias("id_ms"), F.when(F.col("show_on_history").isNull(), False).otherwise(~is_true(tri_bool(F.col("show_on_history")))).alias("dismissed"), is_true(safe_long(F.col("internal_tag")) != 0).alias("is_internal"),
+        F.coalesce("cp_phone", "_member_hit.full_phone").alias("counterparty_phone"), F.col("cp_vpa").alias("counterparty_vpa"), "counterparty_user_id", "classification",
+        "self_holder", "self_account", "self_vpa", "self_ifsc", "utr", F.coalesce("stated_mode", "mode_tag").alias("transfer_mode"),
+        "initiation_mode", "is_qr_scan", "is_intent", "response_code", "merchant_id",
+        "merchant_name", F.coalesce("search_text", F.lit("")).alias("search_text"), "ms", "updated_ms",
+        "id_ms", "dismissed", is_true(safe_long(F.col("internal_tag")) != 0).alias("is_internal"),
     )
 
 
