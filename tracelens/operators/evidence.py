@@ -49,7 +49,7 @@ def corroborate(sources: Mapping[str, DataFrame], payment_kinds: Collection[str]
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(order, F.col(c).alias("v"))))
     told = records.drop("ids").join(entities, "id")
     facts = told.groupBy("entity").agg(
-        F.count_distinct("source").cast("int").alias("score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
+        F.size(F.collect_set("source")).alias("score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
         F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("ref_kinds"), F.coalesce(F.max(F.col("kind").isin(*payment_kinds)), F.lit(False)).alias("expects_ledger_row"),
         F.count(F.lit(1)).alias("mentions"), F.min("ms").alias("earliest_ms"), first("paise").alias("paise"), first("party").alias("party"),
     )
