@@ -176,3 +176,11 @@ def test_root_depends_on_every_file(spark):
     assert (one.n_files, one.root) == (300, root(listed.repartition(7)).root)
     assert one.root != root(listed.filter("path <> 'f7'")).root and root(listed.limit(0)).n_files == 0
     assert one.root != root(listed.withColumn("sha256", F.when(F.col("path") == "f7", "0").otherwise(F.col("sha256")))).root
+
+
+def test_notifications_are_decoded_once(spark):
+    from tracelens.demo.queries import QUERIES
+    import tracelens.demo.lists  # noqa: F401
+
+    plan = QUERIES["notifications_view"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "placements" not in plan and "parse_json" not in plan
