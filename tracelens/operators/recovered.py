@@ -77,32 +77,42 @@ def _live_of(formed: DataFrame, known: DataFrame) -> DataFrame:
 def not_live(recovered: DataFrame, live: DataFrame) -> DataFrame:
     """The recovered rows that are not live, each set of compared values once, by the least seq; without values nothing is compared.
 
-    Rows of one table go to the live keys themselves, equal ones as one row, so that they are dealt out once and no key is hot on either side; only rows
-    of several tables are told by their seq.
+    Rows of one table go to the live keys themselves, as they come from their reader, so that no task sorts what it has not yet been dealt; hot keys are split by the
+    adaptive planner. Only rows of several tables are told by their seq. Of equal rows the first is taken from what is left, which carries each value once.
     """
     formed = _form(recovered)
     known = _known(formed, live)
     several = F.coalesce(F.size("tables"), F.lit(0)) > 1
-    alone = formed.filter(~several)
-    key = F.coalesce(_key(F.get("tables", F.lit(0)), F.col("side"), F.col("k"), F.col("print")), F.concat(F.lit("no table "), _key(F.lit(""), F.lit(""), F.lit(0), F.col("print"))))
-    once = pick_first(alone.withColumn("key", key), ["key"], F.col("seq"), recovered.columns)
-    apart = once.join(known.hint("merge"), "key", "left_anti").select(*recovered.columns)
+    own = _key(F.get("tables", F.lit(0)), F.col("side"), F.col("k"), F.col("print"))
+    # what no live row can equal is dealt out by itself
+    key = F.coalesce(own, F.concat(F.lit("no key "), F.col("seq").cast("string")))
+    apart = formed.filter(~several).withColumn("key", key).join(known.hint("merge"), "key", "left_anti").select(*recovered.columns)
     shared = formed.filter(several)
     shared = shared.join(_live_of(shared, known).hint("merge"), "seq", "left_anti").select(*recovered.columns)
-    return pick_first(_form(apart.unionByName(shared)), ["print"], F.col("seq")).select(*recovered.columns)
+    left = _form(apart.unionByName(shared))
+    head, k = F.col("side") == "head", F.greatest("k", F.lit(0))
+    rest = F.when(head, F.slice("values", k + 1, F.size("values"))).otherwise(F.slice("values", 1, k))
+    first = pick_first(left.withColumn("rest", rest), ["print"], F.col("seq"), ["side", "rest", *[c for c in recovered.columns if c != "values"]])
+    return first.withColumn("values", F.when(head, F.concat("print", "rest")).otherwise(F.concat("rest", "print"))).select(*recovered.columns)
 
 
 def out_of_domain(recovered: DataFrame, domains: DataFrame) -> DataFrame:
     """``recovered`` with ``implausible``: the columns whose whole number is not in the domain that live rows show for it.
 
     ``domains``: (table, column, domain) of enumerations, at most one row for each column; ``recovered`` has ``columns`` beside ``values`` (as ``comparable`` makes
-    them) and one table or, when several fit, the first of them.
+    them) and one table or, when several fit, the first of them.  The domains are few and come as one value, so that the rows stay where they are.
     """
-    cells = recovered.select("seq", F.col("tables")[0].alias("table"), F.posexplode(F.arrays_zip("columns", "values")).alias("at", "cell"))
-    numbers = cells.filter(F.col("cell.values").startswith("i")).select("seq", "at", "table", F.col("cell.columns").alias("column"), F.substring("cell.values", 2, 40).cast("long").alias("number"))
-    strange = numbers.join(domains, ["table", "column"]).filter(~F.array_contains("domain", F.col("number")))
-    named = strange.groupBy("seq").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "column"))), lambda x: x["column"]).alias("implausible"))
-    return recovered.join(named, "seq", "left").withColumn("implausible", F.coalesce("implausible", F.array().cast("array<string>")))
+    by_column = domains.groupBy("table").agg(F.map_from_entries(F.collect_list(F.struct("column", "domain"))).alias("of"))
+    known = by_column.agg(F.map_from_entries(F.collect_list(F.struct("table", "of")))).scalar()
+    own = F.try_element_at(known, F.get("tables", F.lit(0)))
+
+    def strange(cell: Column) -> Column:
+        number = F.substring(cell["values"], 2, 40).try_cast("long")
+        return cell["values"].startswith("i") & ~F.array_contains(F.try_element_at(F.col("_own"), cell["columns"]), number)
+
+    cells = F.filter(F.arrays_zip("columns", "values"), strange)
+    named = F.coalesce(F.transform(cells, lambda cell: cell["columns"]), F.array().cast("array<string>"))
+    return recovered.withColumn("_own", own).withColumn("implausible", named).drop("_own")
 
 
 def graded(recovered: DataFrame) -> DataFrame:
