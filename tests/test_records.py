@@ -151,3 +151,18 @@ def test_payloads_do_not_travel_through_the_lookups_of_leg_transactions(spark):
     carried = joins(QUERIES["leg_transactions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
     # those who pay and are paid are asked for by the payload itself
     assert len(carried) >= 6 and sum("variant" in kinds for kinds in carried) <= 2
+
+
+def test_preference_files_stay_small_enough_for_a_task(spark, monkeypatch, tmp_path):
+    from tracelens.demo import records
+    from tracelens.demo.queries import QUERIES
+
+    folder = str(tmp_path / "prefs")
+    monkeypatch.setattr(records, "PREFS_ROWS", 40)
+    monkeypatch.setattr(records, "fresh_path", lambda spark: folder)
+    rows = QUERIES["preferences"](spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert rows.count() == 5 * n
+    # a file is one task's, so no file may hold all customers
+    written = spark.read.text(folder).filter("value like '%<map>%'").groupBy(F.col("_metadata.file_name")).count().collect()
+    assert sum(r["count"] for r in written) == n and max(r["count"] for r in written) == 40

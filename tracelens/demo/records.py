@@ -60,6 +60,10 @@ def media_files(spark, sf_dir):
     return files.media_rows(listing, codes)
 
 
+#: Maps in one preference file, about 4 MB. Fixed value.
+PREFS_ROWS = 10_000
+
+
 @register("""WITH c AS (SELECT c_custkey AS k, c_name AS n, c_acctbal AS b FROM customer)
   SELECT 'name' || k AS key, n AS value, 'string' AS value_type FROM c UNION ALL SELECT 'seq' || k, CAST(k AS VARCHAR), 'int' FROM c UNION ALL SELECT 'odd' || k, CASE WHEN k % 2 = 1 THEN 'true' ELSE 'false' END, 'boolean' FROM c
   UNION ALL SELECT 'big' || k, CASE WHEN k % 5 <> 0 THEN CAST(k * 1000000000 AS VARCHAR) END, 'long' FROM c UNION ALL SELECT 'tags' || k, '["a' || k || '","b"]', 'set' FROM c""")
@@ -76,7 +80,8 @@ def preferences(spark, sf_dir):
         F.array(F.struct(F.concat(F.lit("tags"), k).alias("_name"), F.array(F.concat(F.lit("a"), k), F.lit("b")).alias("string"))).alias("set"),
     )
     path = fresh_path(spark)
-    rows.write.format("xml").option("rootTag", "prefs").option("rowTag", "map").option("valueTag", "text").save(path)
+    # the reader gives a file to one task, whatever its length
+    rows.write.format("xml").option("rootTag", "prefs").option("rowTag", "map").option("valueTag", "text").option("maxRecordsPerFile", PREFS_ROWS).save(path)
     return files.prefs_table(files.read_prefs_xml(spark, path)).select("key", "value", "value_type")
 
 

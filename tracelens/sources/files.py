@@ -93,8 +93,8 @@ _MAP = StructType([StructField("string", _pairs(["_name", "text"])), *[StructFie
 def read_prefs_xml(spark: SparkSession, path: str) -> DataFrame:
     """(file, key, value, value_type) of every entry of the preference files below ``path``.
 
-    Values are text in the form of their type (whole numbers, true or false, sets as JSON lists); one that does not fit its type is null.  A file is split
-    where its maps are, entries without a name are left out.
+    Values are text in the form of their type (whole numbers, true or false, sets as JSON lists); one that does not fit its type is null.  Each map of a
+    file is a row, entries without a name are left out; a file is read by one task, so a writer of many maps should make many files.
     """
     maps = spark.read.format("xml").option("rowTag", "map").option("valueTag", "text").option("recursiveFileLookup", "true").schema(_MAP).load(path)
     rows = maps.select(F.col("_metadata.file_name").alias("file"), *_MAP.fieldNames())
