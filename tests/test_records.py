@@ -1,6 +1,7 @@
 """Files, nested documents, messages and shared expenses on written and hand-made fixtures."""
 
 import base64
+import decimal
 import hashlib
 import itertools
 import json
@@ -166,3 +167,17 @@ def test_preference_files_stay_small_enough_for_a_task(spark, monkeypatch, tmp_p
     # a file is one task's, so no file may hold all customers
     written = spark.read.text(folder).filter("value like '%<map>%'").groupBy(F.col("_metadata.file_name")).count().collect()
     assert sum(r["count"] for r in written) == n and max(r["count"] for r in written) == 40
+
+
+def test_a_row_gets_its_own_payload_only(spark):
+    from tracelens.demo import ledger
+
+    rows = ledger._rows(spark, "/root/testdata/sf0.001")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").collect()
+    told = {r.row_pk: r.data for r in rows.select("row_pk", "data").collect()}
+    for o in orders:
+        paise = int(decimal.Decimal(str(o.o_totalprice * 100)).quantize(decimal.Decimal(1), decimal.ROUND_HALF_UP))
+        assert told[o.o_orderkey] == ledger._SHAPES[o.o_orderkey % 6].replace("#", str(o.o_orderkey)).replace("~", str(o.o_custkey)).replace("^", str(paise))
+    # no other shape's text is made for it
+    plan = rows.select("data")._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(" not in plan and "array(" not in plan

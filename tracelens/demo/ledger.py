@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
+
+from pyspark.sql import Column, functions as F
 
 from tracelens.demo.adapter import messages, table
 from tracelens.demo.queries import register
@@ -25,12 +27,18 @@ _SHAPES = {
 }
 
 
+def _payload(shape: str, marks: dict[str, Column]) -> Column:
+    """The shape with each mark replaced by its value, as one concatenation."""
+    return F.concat(*[marks.get(part, F.lit(part)) for part in re.split(r"([#~^])", shape) if part])
+
+
 def _rows(spark, sf_dir):
     o, party = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     text = o.cast("string")
     paise = F.round(F.col("o_totalprice") * 100).cast("long").cast("string")
-    put = lambda shape: F.replace(F.replace(F.replace(F.lit(shape), F.lit("#"), text), F.lit("~"), party), F.lit("^"), paise)
-    data = F.element_at(F.array(*[put(s) for s in _SHAPES.values()]), (o % 6 + 1).cast("int"))
+    marks = {"#": text, "~": party, "^": paise}
+    # a row's own shape only
+    data = F.coalesce(*[F.when(o % 6 == k, _payload(shape, marks)) for k, shape in _SHAPES.items()])
     kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.floor(o / 6) % len(_TYPES) + 1).cast("int"))
     state = F.when(o % 6 == 5, "ERRORED").when(o % 7 != 0, F.col("o_orderstatus"))
     return table(spark, sf_dir, "orders").select(
