@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracelens.llm import packing, quality_knn, queries, secret_scan, substring_dedup, toxicity, url_filter
+from tracelens.llm import jaccard_join, packing, quality_knn, queries, secret_scan, substring_dedup, toxicity, url_filter
 from tracelens.llm.decontaminate import contamination, hit_words
 from tracelens.llm.embedding_forest import near_embeddings
 from tracelens.llm.groups import Classes
@@ -72,6 +72,38 @@ def test_jaccard(docs):
     assert jaccard_classes(docs.limit(0)).count() == 0
 
 
+def test_first_shingles_of_linked_sets_meet():
+    r = np.random.default_rng(5)
+    for n in [*range(1, 40), *r.integers(40, 400, 60)]:
+        a = np.unique(r.integers(0, 1 << 62, n))
+        for lost in {0, n // 10, n // 5}:
+            for new in {0, n // 9, n // 4}:
+                b = np.unique(np.concatenate([r.permutation(a)[lost:], r.integers(0, 1 << 62, new)]))
+                k = len(np.intersect1d(a, b))
+                if 100 * k >= 80 * (len(a) + len(b) - k):
+                    cut = jaccard_join._cut(np.array([len(a), len(b)]), 80)
+                    met = len(np.intersect1d(a[: cut[0]], b[: cut[1]]))
+                    assert all(met >= max(1, -(-len(x) * 80 // 100) // jaccard_join.EXTRA) for x in (a, b))
+
+
+def test_shared_shingles_come_back_by_block_not_by_document(spark):
+    texts = [" ".join(rng.choices(WORDS, k=30)) for _ in range(150)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([f"{t} {t}" for t in texts] + texts)], ["doc_id", "text"])
+    halves = [batch.slice(0, 150), batch.slice(150)]
+    rows = pa.Table.from_batches(jaccard_join._posted(halves, lambda b: jaccard_join._blocks_of_texts(b, 5, 80), 16)).sort_by("bucket")
+    counted = pa.Table.from_batches(jaccard_join._shared_counts(rows.to_batches()))
+    assert counted.num_rows <= 2 * (16 + 1)
+    got = {}
+    for part in jaccard_join._sums(counted.sort_by("block").to_batches()):
+        got |= dict(zip(*part.to_pydict().values(), strict=True))
+    sets = []
+    for low, high, words in jaccard_join.batches_of_words(batch.column("text"), lower=True):
+        own, bounds = jaccard_join.shingle_sets(words)
+        sets += [own[s:e][: jaccard_join._cut(np.array([e - s]), 80)[0]] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    seen, times = np.unique(np.concatenate(sets), return_counts=True)
+    assert got == {d: n for d, own in enumerate(sets) if (n := int((times[np.searchsorted(seen, own)] > 1).sum()))}
+
+
 def test_region_recursion_is_exact():
     r = np.random.default_rng(2)
     sets = []

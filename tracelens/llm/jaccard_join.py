@@ -4,9 +4,11 @@ Jaccard distance is a metric.  Documents that share no shingle are all at distan
 that are documents cannot part a sparse corpus; the first pivots are therefore single shingles.
 
 1.  A document can lie within 0.2 of another only if four fifths of its shingles occur elsewhere.
-    Shingles travel as packed five-byte strings to buckets that tell which ones are shared, and all
-    other documents leave the join here.  A shingle that several documents of one block hold
-    travels once for the block, so a passage that is everywhere stays cheap.
+    In order of their hashes, the first ``n - ceil(0.8 n) + n // 5`` shingles of two linked documents have at least
+    ``m // 5`` in common, where m is the smaller one's size.  These first shingles travel as packed five-byte strings to buckets
+    that tell which ones are shared; documents with too few leave the join here.  The others, once for each set, are
+    judged again by all their shingles.  A shingle that several documents of one block hold
+    travels once for the block, so a passage that is everywhere stays cheap, and counts come back as one row for each block and bucket.
 2.  Shared shingles, rarest first, are pivots.  Any two linked documents share one of the first
     ``n - ceil(0.8 n) + 1`` of either, so each is replicated to the cells of these and the cells that
     overlap make a region.
@@ -22,7 +24,7 @@ Links leave a task as a spanning forest, never as pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tracelens.llm.groups import Classes, groups
-from tracelens.llm.words import batches_of_words, shingle_sets
+from tracelens.llm.words import batches_of_words, shingle_sets, slices
 from tracelens.operators.components import connected_components
 from tracelens.session import materialise
 
 #: Shingles that one bucket of step 1 receives on average.
 BUCKET_SHINGLES = 1_500_000
+#: One in so many shingles is posted beyond those that a linked document may lack; shingles of a block of sets.
+EXTRA, BLOCK_SHINGLES = 5, 500_000
 #: Largest region (documents, shingles) that one task joins; also the size of a tile beyond.
 REGION_DOCS, REGION_SHINGLES = 256, 2_000_000
 #: Document pivots of a region that is too large for one task.
@@ -107,25 +111,56 @@ def _profiles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             )
 
 
-_POSTED = "bucket long, docs binary, lengths binary, tails binary, common binary, known_docs binary, known binary"
+def _cut(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of its first shingles a document of ``n`` posts in step 1."""
+    return np.minimum(n, n - (n * percent + 99) // 100 + np.maximum(1, n // EXTRA))
 
 
-def _posted(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Shingles of each block of documents by bucket: one tail of 40 bits for each, with the documents' run lengths."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as their lowest bytes, then the next ones: the high bytes are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _blocks_of_texts(batch: pa.RecordBatch, n: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, shingles, documents) of runs of documents, of each document the first shingles by hash."""
+    ids = batch.column("doc_id").to_numpy()
+    for low, high, words in batches_of_words(batch.column("text"), lower=True):
+        sets, bounds = shingle_sets(words, n)
+        size = np.diff(bounds)
+        first = np.arange(len(sets)) - np.repeat(bounds[:-1], size) < np.repeat(_cut(size, percent), size)
+        yield ids[low:high], sets[first], np.repeat(np.arange(high - low), size)[first]
+
+
+def _blocks_of_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, shingles, documents) of runs of documents, with all shingles."""
+    size, packed = batch.column("n").to_numpy(), batch.column("shingles").to_pylist()
+    at = np.concatenate([[0], np.cumsum(size)])
+    for low, high in slices(at, BLOCK_SHINGLES):
+        yield batch.column("node").to_numpy()[low:high], np.frombuffer(b"".join(packed[low:high]), np.uint64), np.repeat(np.arange(high - low), size[low:high])
+
+
+_POSTED = "bucket long, block long, docs binary, lengths binary, tails binary, common binary, ids binary, known binary"
+
+
+def _posted(batches: Iterator[pa.RecordBatch], blocks: Callable, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of each block of documents by bucket: one tail of 40 bits for each, with the documents' places in the block and run lengths."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        for low, high, words in batches_of_words(batch.column("text"), lower=True):
-            sets, bounds = shingle_sets(words, n)
-            doc = np.repeat(np.arange(high - low), np.diff(bounds))
+        for ids, sets, doc in blocks(batch):
             order = np.argsort(sets, kind="stable")
             ranked = sets[order]
             again = np.zeros(len(ranked), bool)
             again[1:] = ranked[1:] == ranked[:-1]
             several = again.copy()
             several[:-1] |= again[1:]
-            known = np.bincount(doc[order[several]], minlength=high - low)
+            known = np.bincount(doc[order[several]], minlength=len(ids))
             common = ranked[several & ~again]
             rest = np.sort(order[~several])
+            # equal blocks are added up, which only counts too much
+            block = xxhash.xxh3_64_intdigest(ids.tobytes()) >> 1
             rows = {}
             for values, owner in ((sets[rest], doc[rest]), (common, None)):
                 bucket = (values % np.uint64(buckets)).astype(np.int64)
@@ -138,18 +173,20 @@ def _posted(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator
                         row[3] = tail[by[s:e]].tobytes()
                     else:
                         docs, lengths = np.unique(owner[by[s:e]], return_counts=True)
-                        row[:3] = ids[low + docs].tobytes(), lengths.astype(np.int32).tobytes(), tail[by[s:e]].tobytes()
-            has = np.flatnonzero(known)
-            out = [[b, *row, b"", b""] for b, row in rows.items()]
-            if len(has):
-                out.append([int(ids[low] % buckets), b"", b"", b"", b"", ids[low + has].tobytes(), known[has].astype(np.int64).tobytes()])
-            kinds = [pa.int64()] + [pa.binary()] * 6
+                        row[:3] = _planes(docs), _planes(lengths), tail[by[s:e]].tobytes()
+            out = [[b, block, *row, b"", b""] for b, row in rows.items()]
+            if out:
+                out.append([int(block % buckets), block, b"", b"", b"", b"", ids.tobytes(), _planes(known)])
+            kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 6
             names = [x.split()[0] for x in _POSTED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
 
 
+_COUNTED = "block long, docs binary, shared binary, ids binary"
+
+
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of a document's shingles in this bucket occur in other documents too."""
+    """How many of a document's shingles in this bucket occur in other documents too: one row for each block."""
 
     def wide(blobs: list[bytes]) -> np.ndarray:
         short = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
@@ -159,9 +196,8 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for _, rows in groups(batches, "bucket"):
         at = {c: rows.column(c).to_pylist() for c in rows.column_names if c != "bucket"}
-        docs, lengths = np.frombuffer(b"".join(at["docs"]), np.int64), np.frombuffer(b"".join(at["lengths"]), np.int32)
+        out = [(block, b"", known, ids) for block, ids, known in zip(at["block"], at["ids"], at["known"], strict=True) if ids]
         tails, common = wide(at["tails"]), wide(at["common"])
-        out_docs, out_n = [np.frombuffer(b"".join(at["known_docs"]), np.int64)], [np.frombuffer(b"".join(at["known"]), np.int64)]
         if len(tails):
             order = np.argsort(tails, kind="stable")
             ranked = tails[order]
@@ -175,11 +211,33 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 shared |= common[near] == ranked
             flag = np.zeros(len(tails), np.int64)
             flag[order] = shared
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            n = np.add.reduceat(flag, starts)
-            out_docs.append(docs[n > 0])
-            out_n.append(n[n > 0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_docs)), pa.array(np.concatenate(out_n))], ["doc_id", "shared"])
+            low = 0
+            for block, planes, lengths in zip(at["block"], at["docs"], at["lengths"], strict=True):
+                if planes:
+                    docs, size = _numbers(planes), _numbers(lengths)
+                    ends = low + np.cumsum(size)
+                    n = np.add.reduceat(flag[low : ends[-1]], ends - size - low)
+                    low = int(ends[-1])
+                    if n.any():
+                        out.append((block, _planes(docs[n > 0]), _planes(n[n > 0]), b""))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _COUNTED.split(", ")])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a block's documents from all buckets."""
+    for _, rows in groups(batches, "block"):
+        at = {c: rows.column(c).to_pylist() for c in ("docs", "shared", "ids")}
+        ids = np.frombuffer(next(x for x in at["ids"] if x), np.int64)
+        total = np.zeros(len(ids), np.int64)
+        for docs, shared, own in zip(at["docs"], at["shared"], at["ids"], strict=True):
+            if own:
+                total += _numbers(shared)
+            else:
+                total[_numbers(docs)] += _numbers(shared)
+        has = total > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(total[has])], ["doc_id", "shared"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -262,14 +320,14 @@ def shingle_profiles(documents: DataFrame, shingle: int = 5) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(lambda b: _profiles(b, shingle), "doc_id long, n_shingles long, set_key binary")
 
 
-def _shared_shingles(documents: DataFrame, profiles: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and (at least) the number of its shingles that other rows have too; not below the truth."""
-    total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = int(total // BUCKET_SHINGLES) + 1
-    posted = documents.select("doc_id", "text").mapInArrow(lambda b: _posted(b, shingle, buckets), _POSTED)
+def _shared_shingles(rows: DataFrame, blocks: Callable, total: int) -> DataFrame:
+    """doc_id and (at least) the number of its shingles in ``blocks``, ``total`` of all rows, that other rows have there too; not below the truth."""
+    buckets = total // BUCKET_SHINGLES + 1
+    posted = rows.mapInArrow(lambda b: _posted(b, blocks, buckets), _POSTED)
+    counted = posted.repartition(max(buckets, 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_counts, _COUNTED)
     return (
-        posted.repartition(max(buckets, 2), "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_shared_counts, "doc_id long, shared long")
+        counted.repartition("block").sortWithinPartitions("block")
+        .mapInArrow(_sums, "doc_id long, shared long")
         .groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     )
 
@@ -334,11 +392,18 @@ def jaccard_classes(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     linkable = profiles.filter("doc_id is not null and n_shingles > 0")
     first = materialise(linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")))
     named = documents.filter("doc_id is not null").select("doc_id", "text")
-    shared = _shared_shingles(named, linkable, shingle)
-    alive = materialise(first.join(shared.withColumnRenamed("doc_id", "node"), "node").filter(F.col("shared") * 100 >= F.col("n") * percent).select("node", "set_key"))
-    nodes = materialise(
+    n = F.col("n_shingles")
+    whole = F.floor((n * percent + 99) / 100)
+    posted = F.least(n, n - whole + F.greatest(F.lit(1), F.floor(n / EXTRA)))
+    total = int(linkable.agg(F.sum(posted)).first()[0] or 0)
+    shared = _shared_shingles(named, lambda b: _blocks_of_texts(b, shingle, percent), total)
+    least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * percent + 99) / 100) / EXTRA))
+    alive = materialise(first.join(shared.withColumnRenamed("doc_id", "node"), "node").filter(F.col("shared") >= least).select("node", "set_key"))
+    likely = materialise(
         named.join(alive.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(lambda b: _sets(b, shingle), "node long, n long, shingles binary")
     )
+    again = _shared_shingles(likely, _blocks_of_sets, int(likely.agg(F.sum("n")).first()[0] or 0)).withColumnRenamed("doc_id", "node")
+    nodes = materialise(likely.join(again, "node").filter(F.col("shared") * 100 >= F.col("n") * percent).drop("shared"))
     regions = materialise(_regions(nodes, percent))
     classes = connected_components(_links(nodes, regions, percent))
     known = first.select("set_key", "node").join(classes, "node", "left").select("set_key", F.coalesce("component", "node").alias("class"))
