@@ -90,7 +90,7 @@ def test_shared_shingles_come_back_by_block_not_by_document(spark):
     texts = [" ".join(rng.choices(WORDS, k=30)) for _ in range(150)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([f"{t} {t}" for t in texts] + texts)], ["doc_id", "text"])
     halves = [batch.slice(0, 150), batch.slice(150)]
-    rows = pa.Table.from_batches(jaccard_join._posted(halves, lambda b: jaccard_join._blocks_of_texts(b, 5, 80), 16)).sort_by("bucket")
+    rows = pa.Table.from_batches(jaccard_join._posted(halves, 5, 80, 16)).sort_by("bucket")
     counted = pa.Table.from_batches(jaccard_join._shared_counts(rows.to_batches()))
     assert counted.num_rows <= 2 * (16 + 1)
     got = {}
@@ -104,6 +104,27 @@ def test_shared_shingles_come_back_by_block_not_by_document(spark):
     assert got == {d: n for d, own in enumerate(sets) if (n := int((times[np.searchsorted(seen, own)] > 1).sum()))}
 
 
+def test_rarest_shared_shingles_travel_packed():
+    base = [" ".join(rng.choices(WORDS, k=40)) for _ in range(20)]
+    texts = base + [t + " tail" for t in base] + [t + " one two three four five six seven eight nine ten eleven twelve" for t in base[:5]]
+    sets = []
+    for _, _, words in jaccard_join.batches_of_words(pa.array(texts), lower=True):
+        own, bounds = jaccard_join.shingle_sets(words)
+        sets += [own[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([jaccard_join.xxhash.xxh3_128_digest(s) for s in sets], pa.binary())], ["doc_id", "text", "set_key"])
+    dealt = pa.Table.from_batches(jaccard_join._dealt([batch.slice(0, 20), batch.slice(20)], 5, 8)).sort_by("bucket")
+    frequent = pa.Table.from_batches(jaccard_join._frequencies(dealt.to_batches(), 8)).sort_by("block")
+    assert frequent.num_rows <= 2 * (8 + 1)
+    cells = pa.Table.from_batches(jaccard_join._cells(frequent.to_batches(), 80, 8)).to_pydict()
+    seen, times = np.unique(np.concatenate(sets), return_counts=True)
+    df, want = dict(zip(seen.tolist(), times.tolist(), strict=True)), []
+    tail = lambda x: x // 8 % (1 << 40) * 8 + x % 8
+    for d, own in enumerate(sets):
+        shared = sorted((df[x], tail(x)) for x in own.tolist() if df[x] > 1)
+        want += [(d, t) for _, t in shared[: max(0, len(shared) - -(-len(own) * 80 // 100) + 1)]]
+    assert sorted(zip(cells["node"], cells["token"], strict=True)) == sorted(want)
+
+
 def test_region_recursion_is_exact():
     r = np.random.default_rng(2)
     sets = []

@@ -6,8 +6,8 @@ that are documents cannot part a sparse corpus; the first pivots are therefore s
 1.  A document can lie within 0.2 of another only if four fifths of its shingles occur elsewhere.
     In order of their hashes, the first ``n - ceil(0.8 n) + n // 5`` shingles of two linked documents have at least
     ``m // 5`` in common, where m is the smaller one's size.  These first shingles travel as packed five-byte strings to buckets
-    that tell which ones are shared; documents with too few leave the join here.  The others, once for each set, are
-    judged again by all their shingles.  A shingle that several documents of one block hold
+    that tell which ones are shared; documents with too few leave the join here.  The others, once for each set, deal out
+    all their shingles, which come back with their frequencies.  A shingle that several documents of one block hold
     travels once for the block, so a passage that is everywhere stays cheap, and counts come back as one row for each block and bucket.
 2.  Shared shingles, rarest first, are pivots.  Any two linked documents share one of the first
     ``n - ceil(0.8 n) + 1`` of either, so each is replicated to the cells of these and the cells that
@@ -24,7 +24,7 @@ Links leave a task as a spanning forest, never as pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tracelens.llm.groups import Classes, groups
-from tracelens.llm.words import batches_of_words, shingle_sets, slices
+from tracelens.llm.words import batches_of_words, shingle_sets
 from tracelens.operators.components import connected_components
 from tracelens.session import materialise
 
 #: Shingles that one bucket of step 1 receives on average.
 BUCKET_SHINGLES = 1_500_000
-#: One in so many shingles is posted beyond those that a linked document may lack; shingles of a block of sets.
-EXTRA, BLOCK_SHINGLES = 5, 500_000
+#: One in so many shingles is posted beyond those that a linked document may lack.
+EXTRA = 5
 #: Largest region (documents, shingles) that one task joins; also the size of a tile beyond.
 REGION_DOCS, REGION_SHINGLES = 256, 2_000_000
 #: Document pivots of a region that is too large for one task.
@@ -125,7 +125,7 @@ def _numbers(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _blocks_of_texts(batch: pa.RecordBatch, n: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _first_shingles(batch: pa.RecordBatch, n: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, shingles, documents) of runs of documents, of each document the first shingles by hash."""
     ids = batch.column("doc_id").to_numpy()
     for low, high, words in batches_of_words(batch.column("text"), lower=True):
@@ -135,21 +135,27 @@ def _blocks_of_texts(batch: pa.RecordBatch, n: int, percent: int) -> Iterator[tu
         yield ids[low:high], sets[first], np.repeat(np.arange(high - low), size)[first]
 
 
-def _blocks_of_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, shingles, documents) of runs of documents, with all shingles."""
-    size, packed = batch.column("n").to_numpy(), batch.column("shingles").to_pylist()
-    at = np.concatenate([[0], np.cumsum(size)])
-    for low, high in slices(at, BLOCK_SHINGLES):
-        yield batch.column("node").to_numpy()[low:high], np.frombuffer(b"".join(packed[low:high]), np.uint64), np.repeat(np.arange(high - low), size[low:high])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*[x.split() for x in schema.split(", ")], strict=True)
+    kinds = [pa.int64() if k == "long" else pa.binary() for k in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
+
+
+def _wide(blobs: list[bytes]) -> np.ndarray:
+    """Tails of 40 bits as 64-bit numbers."""
+    short = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :5] = short
+    return out.view("<u8").ravel()
 
 
 _POSTED = "bucket long, block long, docs binary, lengths binary, tails binary, common binary, ids binary, known binary"
 
 
-def _posted(batches: Iterator[pa.RecordBatch], blocks: Callable, buckets: int) -> Iterator[pa.RecordBatch]:
+def _posted(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Shingles of each block of documents by bucket: one tail of 40 bits for each, with the documents' places in the block and run lengths."""
     for batch in batches:
-        for ids, sets, doc in blocks(batch):
+        for ids, sets, doc in _first_shingles(batch, n, percent):
             order = np.argsort(sets, kind="stable")
             ranked = sets[order]
             again = np.zeros(len(ranked), bool)
@@ -177,9 +183,7 @@ def _posted(batches: Iterator[pa.RecordBatch], blocks: Callable, buckets: int) -
             out = [[b, block, *row, b"", b""] for b, row in rows.items()]
             if out:
                 out.append([int(block % buckets), block, b"", b"", b"", b"", ids.tobytes(), _planes(known)])
-            kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 6
-            names = [x.split()[0] for x in _POSTED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
+            yield _batch(out, _POSTED)
 
 
 _COUNTED = "block long, docs binary, shared binary, ids binary"
@@ -187,17 +191,10 @@ _COUNTED = "block long, docs binary, shared binary, ids binary"
 
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of a document's shingles in this bucket occur in other documents too: one row for each block."""
-
-    def wide(blobs: list[bytes]) -> np.ndarray:
-        short = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
-        out = np.zeros((len(short), 8), np.uint8)
-        out[:, :5] = short
-        return out.view("<u8").ravel()
-
     for _, rows in groups(batches, "bucket"):
         at = {c: rows.column(c).to_pylist() for c in rows.column_names if c != "bucket"}
         out = [(block, b"", known, ids) for block, ids, known in zip(at["block"], at["ids"], at["known"], strict=True) if ids]
-        tails, common = wide(at["tails"]), wide(at["common"])
+        tails, common = _wide(at["tails"]), _wide(at["common"])
         if len(tails):
             order = np.argsort(tails, kind="stable")
             ranked = tails[order]
@@ -220,9 +217,7 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     low = int(ends[-1])
                     if n.any():
                         out.append((block, _planes(docs[n > 0]), _planes(n[n > 0]), b""))
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _COUNTED.split(", ")])
+        yield _batch(out, _COUNTED)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,26 +235,90 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(total[has])], ["doc_id", "shared"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+_DEALT = "bucket long, block long, docs binary, lengths binary, tails binary, ids binary, sizes binary"
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """All shingles of each block of documents by bucket, as ``_posted`` has them, but each with its document."""
     for batch in batches:
-        keys = batch.column("set_key").to_pylist()
-        ids = batch.column("doc_id").to_pylist()
-        for low, _, words in batches_of_words(batch.column("text"), lower=True):
-            sets, bounds = shingle_sets(words, n)
-            rows = [
-                (ids[low + d], e - s, one.tobytes())
-                for d, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))
-                if xxhash.xxh3_128_digest(one := sets[s:e]) == keys[low + d]
-            ]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["node", "n", "shingles"])
+        for ids, sets, bounds in _true_sets(batch, n):
+            size = np.diff(bounds)
+            doc = np.repeat(np.arange(len(ids)), size)
+            block = xxhash.xxh3_64_intdigest(ids.tobytes()) >> 1
+            bucket = (sets % np.uint64(buckets)).astype(np.int64)
+            tail = ((sets // np.uint64(buckets)) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
+            out = []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                docs, lengths = np.unique(doc[by[s:e]], return_counts=True)
+                out.append((int(bucket[by[s]]), block, _planes(docs), _planes(lengths), tail[by[s:e]].tobytes(), b"", b""))
+            out.append((int(block % buckets), block, b"", b"", b"", ids.tobytes(), _planes(size)))
+            yield _batch(out, _DEALT)
+
 
+_FREQUENT = "block long, docs binary, lengths binary, tokens binary, times binary, ids binary, sizes binary"
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _frequencies(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of this bucket that come more than once, and how often: one row for each block."""
+    for (bucket,), rows in groups(batches, "bucket"):
+        at = {c: rows.column(c).to_pylist() for c in rows.column_names if c != "bucket"}
+        out = [(block, b"", b"", b"", b"", ids, sizes) for block, ids, sizes in zip(at["block"], at["ids"], at["sizes"], strict=True) if ids]
+        _, column, times = np.unique(tails := _wide(at["tails"]), return_inverse=True, return_counts=True)
+        low = 0
+        for block, planes, lengths in zip(at["block"], at["docs"], at["lengths"], strict=True):
+            if planes:
+                owner = np.repeat(_numbers(planes), _numbers(lengths))
+                own, df = tails[low : low + len(owner)], times[column[low : low + len(owner)]]
+                low += len(owner)
+                several = df > 1
+                if several.any():
+                    docs, size = np.unique(owner[several], return_counts=True)
+                    short = own[several].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                    out.append((block, _planes(docs), _planes(size), short + int(bucket).to_bytes(8, "little"), _planes(df[several]), b"", b""))
+        yield _batch(out, _FREQUENT)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of each document the rarest shared shingles, as many that any linked one has one of them too; none where too few are shared.
+
+    A token is a bucket and a tail; should two shingles have the same, regions only get larger.
+    """
+    for _, rows in groups(batches, "block"):
+        at = {c: rows.column(c).to_pylist() for c in rows.column_names if c != "block"}
+        ids, n = next((np.frombuffer(i, np.int64), _numbers(s)) for i, s in zip(at["ids"], at["sizes"], strict=True) if i)
+        parts = [x for x in zip(at["docs"], at["lengths"], at["tokens"], at["times"], strict=True) if x[0]]
+        if not parts:
+            continue
+        doc = np.concatenate([np.repeat(_numbers(d), _numbers(k)) for d, k, _, _ in parts])
+        token = np.concatenate([_wide([t[:-8]]) * np.uint64(buckets) + np.uint64(int.from_bytes(t[-8:], "little")) for _, _, t, _ in parts])
+        df = np.concatenate([_numbers(x) for _, _, _, x in parts])
+        order = np.lexsort((token, df, doc))
+        shared = np.bincount(doc, minlength=len(ids))
+        spare = shared - (n * percent + 99) // 100
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(shared) - shared, shared)
+        first = place <= np.repeat(spare, shared)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[doc[order][first]]), pa.array(token[order][first].view(np.int64))], ["node", "token"])
+
+
+def _true_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple]:
+    """(ids, shingles, bounds) of runs of rows, without those whose set has not the digest ``set_key``."""
+    keys, ids = batch.column("set_key").to_pylist(), batch.column("doc_id").to_numpy()
+    for low, high, words in batches_of_words(batch.column("text"), lower=True):
+        sets, bounds = shingle_sets(words, n)
+        size = np.diff(bounds)
+        good = np.array([xxhash.xxh3_128_digest(sets[s:e]) == keys[low + d] for d, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))], bool)
+        if good.any():
+            yield ids[low:high][good], sets[np.repeat(good, size)], np.concatenate([[0], np.cumsum(size[good])])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
-        tokens = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(node, n)), pa.array(np.repeat(n, n))], ["token", "node", "n"])
+        region = dict(zip(batch.column("doc_id").to_pylist(), batch.column("region").to_pylist(), strict=True))
+        for ids, sets, bounds in _true_sets(batch, n):
+            packed = [sets[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([region[i] for i in ids.tolist()], pa.int64()), pa.array(np.diff(bounds)), pa.array(packed, pa.binary())], ["node", "region", "n", "shingles"])
 
 
 def _forest(nodes: list[int], classes: Classes) -> pa.RecordBatch:
@@ -320,10 +379,10 @@ def shingle_profiles(documents: DataFrame, shingle: int = 5) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(lambda b: _profiles(b, shingle), "doc_id long, n_shingles long, set_key binary")
 
 
-def _shared_shingles(rows: DataFrame, blocks: Callable, total: int) -> DataFrame:
-    """doc_id and (at least) the number of its shingles in ``blocks``, ``total`` of all rows, that other rows have there too; not below the truth."""
+def _shared_shingles(documents: DataFrame, total: int, shingle: int, percent: int) -> DataFrame:
+    """doc_id and (at least) the number of its first shingles, ``total`` of all rows, that are first shingles of other rows too; not below the truth."""
     buckets = total // BUCKET_SHINGLES + 1
-    posted = rows.mapInArrow(lambda b: _posted(b, blocks, buckets), _POSTED)
+    posted = documents.mapInArrow(lambda b: _posted(b, shingle, percent, buckets), _POSTED)
     counted = posted.repartition(max(buckets, 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_counts, _COUNTED)
     return (
         counted.repartition("block").sortWithinPartitions("block")
@@ -332,28 +391,27 @@ def _shared_shingles(rows: DataFrame, blocks: Callable, total: int) -> DataFrame
     )
 
 
-def _regions(nodes: DataFrame, percent: int) -> DataFrame:
+def _rarest(documents: DataFrame, total: int, shingle: int, percent: int) -> DataFrame:
+    """(node, token): the rarest shared shingles of each row of (doc_id, text, set_key) with ``total`` shingles in all."""
+    buckets = total // BUCKET_SHINGLES + 1
+    dealt = documents.mapInArrow(lambda b: _dealt(b, shingle, buckets), _DEALT)
+    frequent = dealt.repartition(max(buckets, 2), "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _frequencies(b, buckets), _FREQUENT)
+    return frequent.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _cells(b, percent, buckets), "node long, token long")
+
+
+def _regions(cells: DataFrame) -> DataFrame:
     """(node, region): overlapping cells of the rarest shared shingles."""
-    tokens = nodes.mapInArrow(_tokens, "token long, node long, n long")
-    # written, so that neither side of the joins is an aggregate and hot shingles can be split
-    frequent = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
-    ranked = tokens.join(frequent, "token").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    need = F.ceil(F.col("n") * F.lit(percent) / F.lit(100))
-    cells = materialise(
-        ranked.withColumn("spare", F.size("shared") - need.cast("int")).filter("spare >= 0")
-        .select("node", F.explode(F.slice("shared", F.lit(1), F.col("spare") + 1)).alias("cell")).select("node", F.col("cell.token").alias("token"))
-    )
     lowest = materialise(cells.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high"))
     met = cells.join(lowest, "token").select(F.col("node").alias("src"), F.col("low").alias("dst")).distinct()
     return connected_components(met).withColumnRenamed("component", "region")
 
 
-def _links(nodes: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
+def _links(nodes: DataFrame, percent: int) -> DataFrame:
     """(src, dst): a spanning forest of all links inside the regions, as a written table."""
-    sized = nodes.join(regions, "node")
+    sized = materialise(nodes)
     extent = sized.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
     parts = F.ceil(F.greatest(F.col("docs") / REGION_DOCS, F.col("total") / REGION_SHINGLES)).cast("int")
-    members = materialise(sized.join(extent.filter("docs > 1").select("region", parts.alias("parts")), "region"))
+    members = sized.join(materialise(extent.filter("docs > 1").select("region", parts.alias("parts"))), "region")
     small = members.filter("parts = 1").select("region", "node", "shingles").repartition("region").sortWithinPartitions("region")
     links = small.mapInArrow(lambda b: _small_regions(b, percent), "src long, dst long")
 
@@ -396,16 +454,16 @@ def jaccard_classes(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     whole = F.floor((n * percent + 99) / 100)
     posted = F.least(n, n - whole + F.greatest(F.lit(1), F.floor(n / EXTRA)))
     total = int(linkable.agg(F.sum(posted)).first()[0] or 0)
-    shared = _shared_shingles(named, lambda b: _blocks_of_texts(b, shingle, percent), total)
+    shared = _shared_shingles(named, total, shingle, percent)
     least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * percent + 99) / 100) / EXTRA))
-    alive = materialise(first.join(shared.withColumnRenamed("doc_id", "node"), "node").filter(F.col("shared") >= least).select("node", "set_key"))
-    likely = materialise(
-        named.join(alive.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(lambda b: _sets(b, shingle), "node long, n long, shingles binary")
-    )
-    again = _shared_shingles(likely, _blocks_of_sets, int(likely.agg(F.sum("n")).first()[0] or 0)).withColumnRenamed("doc_id", "node")
-    nodes = materialise(likely.join(again, "node").filter(F.col("shared") * 100 >= F.col("n") * percent).drop("shared"))
-    regions = materialise(_regions(nodes, percent))
-    classes = connected_components(_links(nodes, regions, percent))
+    alive = materialise(first.join(shared.withColumnRenamed("doc_id", "node"), "node").filter(F.col("shared") >= least).select("node", "set_key", "n"))
+    # texts take a fraction of what their shingles do
+    likely = materialise(named.join(alive.withColumnRenamed("node", "doc_id"), "doc_id"))
+    cells = materialise(_rarest(likely, int(alive.agg(F.sum("n")).first()[0] or 0), shingle, percent))
+    regions = materialise(_regions(cells))
+    nodes = likely.join(regions.select(F.col("node").alias("doc_id"), "region"), "doc_id")
+    nodes = nodes.mapInArrow(lambda b: _sets(b, shingle), "node long, region long, n long, shingles binary")
+    classes = connected_components(_links(nodes, percent))
     known = first.select("set_key", "node").join(classes, "node", "left").select("set_key", F.coalesce("component", "node").alias("class"))
     linked = linkable.join(known, "set_key").select("doc_id", "n_shingles", F.col("class").alias("component_id"))
     alone = profiles.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
