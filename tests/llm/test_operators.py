@@ -125,6 +125,16 @@ def test_rarest_shared_shingles_travel_packed():
     assert sorted(zip(cells["node"], cells["token"], strict=True)) == sorted(want)
 
 
+def test_bloom_filter_loses_nothing(spark, monkeypatch):
+    ids = np.random.default_rng(6).integers(-(1 << 62), 1 << 62, 3_000)
+    df = spark.createDataFrame([(int(i),) for i in ids], "node long")
+    bloom = jaccard_join.bloom_filter(df, len(ids))
+    assert jaccard_join.in_bloom(ids, bloom).all() and jaccard_join.in_bloom(ids + 1, bloom).mean() < 0.1
+    assert not jaccard_join.in_bloom(ids, jaccard_join.bloom_filter(df.limit(0), 0)).any()
+    monkeypatch.setattr(jaccard_join, "BLOOM_WORDS", 2)
+    assert jaccard_join.in_bloom(ids, jaccard_join.bloom_filter(df, len(ids))).all()
+
+
 def test_region_recursion_is_exact():
     r = np.random.default_rng(2)
     sets = []

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tracelens.llm.groups import Classes, groups
-from tracelens.llm.words import batches_of_words, shingle_sets
+from tracelens.llm.words import batches_of_words, mix, shingle_sets
 from tracelens.operators.components import connected_components
 from tracelens.session import materialise
 
@@ -40,6 +40,8 @@ from tracelens.session import materialise
 BUCKET_SHINGLES = 1_500_000
 #: One in so many shingles is posted beyond those that a linked document may lack.
 EXTRA = 5
+#: Hashes and most 64-bit words (32 MB) of the filter that finds the texts that go on; where it is full, more texts move, no fewer.
+BLOOM_HASHES, BLOOM_WORDS = 4, 1 << 22
 #: Largest region (documents, shingles) that one task joins; also the size of a tile beyond.
 REGION_DOCS, REGION_SHINGLES = 256, 2_000_000
 #: Document pivots of a region that is too large for one task.
@@ -321,6 +323,40 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([region[i] for i in ids.tolist()], pa.int64()), pa.array(np.diff(bounds)), pa.array(packed, pa.binary())], ["node", "region", "n", "shingles"])
 
 
+def _bits(ids: np.ndarray, words: int) -> np.ndarray:
+    """Places of each id in a Bloom filter of ``words`` (a power of two) 64-bit words, one row for each hash."""
+    once = mix(ids.view(np.uint64))  # neighbouring ids have no hash in common
+    return np.stack([mix(once + np.uint64(k)) for k in range(1, BLOOM_HASHES + 1)]) & np.uint64(64 * words - 1)
+
+
+def _bloom(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.unique(_bits(batch.column(0).to_numpy(), words))
+        word, starts = np.unique(at >> np.uint64(6), return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), starts) if len(at) else at
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+
+def bloom_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """64-bit words of a Bloom filter of the ``n`` values of a column of longs; about 8 to 16 bits a value, ``BLOOM_WORDS`` words at most."""
+    words = 1 << min(BLOOM_WORDS.bit_length() - 1, max(0, (n // 8).bit_length()))
+    set_ = ids.mapInArrow(lambda b: _bloom(b, words), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[set_.column("word").to_numpy()] = set_.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bloom(ids: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    at = _bits(ids, len(bloom))
+    return ((bloom[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).all(axis=0)
+
+
+def _perhaps(batches: Iterator[pa.RecordBatch], bloom: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if (keep := in_bloom(batch.column("doc_id").to_numpy(), bloom)).any():
+            yield batch.filter(pa.array(keep))
+
+
 def _forest(nodes: list[int], classes: Classes) -> pa.RecordBatch:
     up = classes.roots()
     away = np.flatnonzero(up != np.arange(len(up)))
@@ -446,10 +482,11 @@ def jaccard_classes(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     doc_id reachable by links.  Equal rows count as one document and come back as often as they came;
     a row without doc_id is linked with nothing and has no component_id.  Other columns are not read.
     """
+    spark = documents.sparkSession
     profiles = materialise(shingle_profiles(documents, shingle))
     linkable = profiles.filter("doc_id is not null and n_shingles > 0")
     first = materialise(linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")))
-    named = documents.filter("doc_id is not null").select("doc_id", "text")
+    named = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     n = F.col("n_shingles")
     whole = F.floor((n * percent + 99) / 100)
     posted = F.least(n, n - whole + F.greatest(F.lit(1), F.floor(n / EXTRA)))
@@ -457,8 +494,10 @@ def jaccard_classes(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     shared = _shared_shingles(named, total, shingle, percent)
     least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * percent + 99) / 100) / EXTRA))
     alive = materialise(first.join(shared.withColumnRenamed("doc_id", "node"), "node").filter(F.col("shared") >= least).select("node", "set_key", "n"))
-    # texts take a fraction of what their shingles do
-    likely = materialise(named.join(alive.withColumnRenamed("node", "doc_id"), "doc_id"))
+    # only texts that go on, and a few more, are dealt out for the join; they take a fraction of what their shingles do
+    bloom = spark.sparkContext.broadcast(bloom_filter(alive.select("node"), alive.count()))
+    found = named.mapInArrow(lambda b: _perhaps(b, bloom.value), named.schema)
+    likely = materialise(found.join(alive.withColumnRenamed("node", "doc_id"), "doc_id"))
     cells = materialise(_rarest(likely, int(alive.agg(F.sum("n")).first()[0] or 0), shingle, percent))
     regions = materialise(_regions(cells))
     nodes = likely.join(regions.select(F.col("node").alias("doc_id"), "region"), "doc_id")
