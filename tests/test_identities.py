@@ -25,6 +25,15 @@ def test_clusters_equal_a_union_find(spark):
     assert set(map(frozenset, found.values())) == expected
 
 
+def test_only_payments_with_several_identifiers_enter_the_graph(spark, monkeypatch):
+    seen, real = [], ident.connected_components
+    monkeypatch.setattr(ident, "connected_components", lambda edges: (seen.append(edges.count()), real(edges))[1])
+    rows = [(1, ["uid:1"]), (2, ["uid:1", None, "ph:9"]), (3, ["zz:3"]), (3, ["ph:9"]), (4, ["uid:4"]), (5, ["uid:4"]), (6, []), (7, None), (6, None), (None, ["uid:1"]), (8, ["aa:1"])]
+    got = ident.resolve_counterparties(spark.createDataFrame(rows, "id long, ids array<string>"), "id", F.col("ids")).collect()
+    want = [(1, "ph:9"), (2, "ph:9"), (3, "ph:9"), (3, "ph:9"), (4, "pmt:4"), (5, "pmt:4"), (6, "pmt:6"), (6, "pmt:6"), (7, "pmt:7"), (8, "aa:1"), (None, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and seen == [2]
+
+
 def test_tables_that_lack_columns(spark):
     df = spark.createDataFrame([(1, "=x")], "id int, note string")
     rows, gaps = reports.select_tolerant(df, {"id": "long", "amount": "long"})

@@ -11,6 +11,7 @@ from tracelens.functions.values import filled
 from tracelens.operators.components import connected_components
 from tracelens.operators.payments import unambiguous
 from tracelens.operators.skew import null_spread_join, pick_first
+from tracelens.session import materialise
 
 
 def identity_directory(sources: Mapping[str, DataFrame]) -> DataFrame:
@@ -60,10 +61,18 @@ def resolve_counterparties(payments: DataFrame, payment: str, ids: Column) -> Da
 
     ``ids`` is an array such as ``strong_ids`` gives; a payment without any is a cluster of its own.
     """
-    node = F.concat(F.lit("pmt:"), F.col(payment).cast("string")).alias("src")
-    clusters = connected_components(payments.select(node, F.explode(ids).alias("dst")))
-    known = clusters.filter(F.col("node").startswith("pmt:")).select(F.col("node").alias("src"), F.col("component").alias("cluster"))
-    return payments.select(payment, node).join(known, "src", "left").select(payment, F.coalesce("cluster", "src").alias("cluster"))
+    named = F.concat(F.lit("pmt:"), F.col(payment).cast("string"))
+    own = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.when(F.col(payment).isNotNull(), F.col("_ids")))))))
+    grouped = payments.select(payment, ids.alias("_ids")).groupBy(payment).agg(F.count(F.lit(1)).alias("_times"), own.alias("_ids"))
+    grouped = materialise(grouped.select(payment, named.alias("_node"), "_times", "_ids", F.get("_ids", F.lit(0)).alias("_first")))
+    # only payments with several identifiers link any; the others need no part in the graph
+    links = grouped.filter(F.size("_ids") > 1).select(F.col("_first").alias("src"), F.explode(F.slice("_ids", 2, F.size("_ids"))).alias("dst")).distinct()
+    linked = connected_components(links).select(F.col("node").alias("_first"), F.col("component").alias("_root"))
+    least = grouped.filter("_first is not null").groupBy("_first").agg(F.min("_node").alias("_node"))
+    rooted = materialise(least.join(linked, "_first", "left").select("_first", F.coalesce("_root", "_first").alias("_root"), "_node"))
+    labels = rooted.groupBy("_root").agg(F.least("_root", F.min("_node")).alias("cluster"))
+    told = null_spread_join(grouped.drop("_ids"), rooted.select("_first", "_root").join(labels, "_root").select("_first", "cluster"), "_first")
+    return told.select(payment, F.coalesce("cluster", "_node").alias("cluster"), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_")).drop("_")
 
 
 def weak_links(lone: DataFrame, members: DataFrame, seq: str) -> DataFrame:
