@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracelens.llm.decontaminate import contamination, hit_words, is_contaminated
-from tracelens.llm.jaccard_join import jaccard_classes
+from tracelens.llm.jaccard_join import bloom_filter, by_bloom, jaccard_classes
 from tracelens.llm.packing import pack_documents
 from tracelens.llm.queries import TOKENIZER, TOXIC_FROM, table, toxic_held_out
 from tracelens.llm.secret_scan import fit_grammars, without_secrets
@@ -25,11 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of linked texts, once; rows without doc_id stay."""
-    classes = jaccard_classes(docs)
+    classes = materialise(jaccard_classes(docs))
     first = materialise(classes.filter("component_id = doc_id").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_again")))
-    kept = docs.join(first, "doc_id").select(*docs.columns, "_again")
+    # most documents stay, once: only the others, and a few more, are dealt out for the join
+    others = materialise(classes.filter("component_id <> doc_id").select("doc_id").unionByName(first.filter("_again").select("doc_id")))
+    bloom = spark.sparkContext.broadcast(bloom_filter(others, others.count()))
+    named = docs.filter("doc_id is not null")
+    sure = named.mapInArrow(lambda b: by_bloom(b, bloom.value, False), docs.schema)
+    kept = named.mapInArrow(lambda b: by_bloom(b, bloom.value, True), docs.schema).join(first, "doc_id").select(*docs.columns, "_again")
     repeated = kept.filter("_again").drop("_again").dropDuplicates(["doc_id", "text"])
-    return kept.filter("not _again").drop("_again").unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+    return sure.unionByName(kept.filter("not _again").drop("_again")).unionByName(repeated).unionByName(docs.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

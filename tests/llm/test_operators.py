@@ -135,6 +135,14 @@ def test_bloom_filter_loses_nothing(spark, monkeypatch):
     assert jaccard_join.in_bloom(ids, jaccard_join.bloom_filter(df, len(ids))).all()
 
 
+def test_only_other_than_single_first_documents_are_joined(spark, monkeypatch):
+    rows = [(1, LONG, 1), (2, LONG, 2), (3, PART, 3), (3, PART, 3), (4, "a b", 4), (None, "x", 5), (5, None, 6)]
+    seen, real = [], corpus_pipeline.bloom_filter
+    monkeypatch.setattr(corpus_pipeline, "bloom_filter", lambda ids, n: (seen.append({r.doc_id for r in ids.collect()}), real(ids, n))[1])
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, n int"), "").collect()
+    assert seen == [{2, 3}] and sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], *rows[4:]], key=str)
+
+
 def test_region_recursion_is_exact():
     r = np.random.default_rng(2)
     sets = []

@@ -351,9 +351,10 @@ def in_bloom(ids: np.ndarray, bloom: np.ndarray) -> np.ndarray:
     return ((bloom[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).all(axis=0)
 
 
-def _perhaps(batches: Iterator[pa.RecordBatch], bloom: np.ndarray) -> Iterator[pa.RecordBatch]:
+def by_bloom(batches: Iterator[pa.RecordBatch], bloom: np.ndarray, inside: bool) -> Iterator[pa.RecordBatch]:
+    """Rows whose doc_id may be in the filter, or the others, which surely are not."""
     for batch in batches:
-        if (keep := in_bloom(batch.column("doc_id").to_numpy(), bloom)).any():
+        if (keep := in_bloom(batch.column("doc_id").to_numpy().astype(np.int64), bloom) == inside).any():
             yield batch.filter(pa.array(keep))
 
 
@@ -496,7 +497,7 @@ def jaccard_classes(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     alive = materialise(first.join(shared.withColumnRenamed("doc_id", "node"), "node").filter(F.col("shared") >= least).select("node", "set_key", "n"))
     # only texts that go on, and a few more, are dealt out for the join; they take a fraction of what their shingles do
     bloom = spark.sparkContext.broadcast(bloom_filter(alive.select("node"), alive.count()))
-    found = named.mapInArrow(lambda b: _perhaps(b, bloom.value), named.schema)
+    found = named.mapInArrow(lambda b: by_bloom(b, bloom.value, True), named.schema)
     likely = materialise(found.join(alive.withColumnRenamed("node", "doc_id"), "doc_id"))
     cells = materialise(_rarest(likely, int(alive.agg(F.sum("n")).first()[0] or 0), shingle, percent))
     regions = materialise(_regions(cells))
