@@ -66,6 +66,45 @@ def test_substrings(docs, spark, monkeypatch):
     assert substring_dedup.deduplicate_substrings(docs.limit(0)).count() == 0
 
 
+def _kept_by_force(rows, window):
+    seen, want = {}, []
+    for i, t in sorted(rows):
+        w = t.encode().split()
+        keep = [True] * len(w)
+        for k in range(len(w) - window + 1):
+            if seen.setdefault(tuple(w[k : k + window]), i) < i:
+                keep[k : k + window] = [False] * window
+        want.append((i, len(w), len(w) - sum(keep), " ".join(x.decode() for x, y in zip(w, keep, strict=True) if y)))
+    return want
+
+
+@pytest.mark.parametrize("window", [50, 14, 9])
+def test_substrings_of_near_copies_common_lines_and_repeated_words(spark, window):
+    r = random.Random(window)
+    line, other = r.choices(WORDS, k=window - 5), r.choices(WORDS, k=window + 3)
+    rows = []
+    for i in range(160):
+        body = r.choices(WORDS, k=r.randrange(40))
+        near = LONG.split()
+        for _ in range(r.randrange(4)):
+            near[r.randrange(len(near))] = r.choice(WORDS)
+        parts = [near[r.randrange(20) :], line, other[r.randrange(3) :], ["x"] * r.randrange(2 * window), ["x"] * 700 * (i % 40 == 3), line + ["x"] * 9 + other]
+        rows.append((i * 7 % 160 - 5, " ".join(body + sum(r.sample(parts, 3), []))))
+    got = substring_dedup.deduplicate_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), window).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got) == _kept_by_force(rows, window)
+
+
+def test_a_passage_of_many_documents_is_judged_like_that_of_few(spark):
+    few = many = None
+    for copies in (12, 1_200):
+        rows = spark.range(copies).select(F.col("id").alias("doc_id"), F.concat(F.lit(LONG + " "), F.col("id")).alias("text"))
+        found = substring_dedup.repeated_windows(rows)[1].groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
+        few, many = many, {(x["rows"], x["n"]) for x in found}
+        assert len(found) == copies - 1
+    # runs of windows, not one row for each of the 71
+    assert few == many and {n for _, n in many} == {71} and max(k for k, _ in many) < 20
+
+
 def test_jaccard(docs):
     got = sorted((r.doc_id, r.component_id) for r in jaccard_classes(docs).collect() if r.doc_id)
     assert got == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8), (9, 9), (10, 9), (11, 1), (12, 12), (13, 13), (14, 14)]

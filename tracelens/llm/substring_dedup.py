@@ -1,16 +1,17 @@
 """Substring deduplication: words covered by windows that also start in an earlier document are removed.
 
-Windows of ``window`` words are dealt by their minimiser, the smallest hash of the ``seed``-word runs inside.
-Equal windows have equal minimisers, and neighbouring windows mostly share theirs: such a super-k-mer is one row.
-
-1.  Super-k-mers without their words (minimiser, document, place) tell which minimisers occur in
-    several documents; no other window can repeat.
-2.  Super-k-mers with a shared minimiser travel, as one packed string of words, to the bucket of the minimiser, where
-    their windows are sorted and the smallest document of each is known exactly.
-3.  A minimiser with more than ``HOT`` super-k-mers (a passage that is everywhere) has its windows dealt one by one, by digest,
-    and their smallest documents are combined before the shuffle.
-
-Only documents with shared minimisers move with their texts.
+Windows of ``window`` words are grouped by their minimiser, the smallest hash of the ``seed``-word runs inside.
+Equal windows have equal minimisers, and neighbouring windows mostly share theirs: such a super-k-mer is one row, with a hash
+of its words. Rows are judged without their words, and every minimiser alike, however many rows it has:
+
+1.  A minimiser of one document has no repeated window.
+2.  Of equal super-k-mers all windows repeat, except in the smallest of their documents. So only that document's can still
+    be open, and only where different super-k-mers have the minimiser.
+3.  Open windows are cut once more, by minimisers of almost their own length, and judged in the same way; what is open then
+    is judged window by window.
+
+Only documents with repeated or open windows move with their texts. Runs of words are compared by 64-bit hashes, among those
+with one minimiser: exact up to their collisions.
 """
 
 from __future__ import annotations
@@ -20,16 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tracelens.llm.groups import groups
-from tracelens.llm.words import batches_of_words, grams, words_of
+from tracelens.llm.words import batches_of_words, grams, run_hashes
 from tracelens.session import materialise
 
 WINDOW, SEED = 50, 8
-#: Super-k-mers of one minimiser that a bucket takes; windows of one super-k-mer at most; super-k-mers sorted at a time.
-HOT, LONGEST, SORTED = 1_000, 256, 8_192
+#: Windows of one super-k-mer at most.
+LONGEST = 256
+#: Not read: no number of super-k-mers changes how a minimiser is treated. The name stays for callers that set it.
+HOT = 1_000
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -42,14 +43,18 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def super_kmers(hashes: np.ndarray, first: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]:
-    """(minimiser, document, first window's word in the document, windows) of each run of windows with one minimiser."""
+def super_kmers(hashes: np.ndarray, first: np.ndarray, window: int, seed: int, among: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(minimiser, document, first window's word in the document, windows) of each run of windows with one minimiser.
+
+    ``among`` tells for each word whether the window that starts there counts; without it, all do.
+    """
     empty = np.zeros(0, np.int64)
     if len(hashes) < window:
         return empty, empty, empty, empty
     least = _smallest(grams(hashes, seed), window - seed + 1)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.flatnonzero(doc[: len(least)] == doc[window - 1 :])
+    whole = doc[: len(least)] == doc[window - 1 :]
+    at = np.flatnonzero(whole if among is None else whole & among[: len(least)])
     if not len(at):
         return empty, empty, empty, empty
     new = np.ones(len(at), bool)
@@ -64,69 +69,64 @@ def super_kmers(hashes: np.ndarray, first: np.ndarray, window: int, seed: int) -
     return least[place].view(np.int64), doc[place], place - first[doc[place]], count
 
 
-def _runs(batches: Iterator[pa.RecordBatch], window: int, seed: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        for low, _, words in batches_of_words(batch.column("text")):
-            key, doc, start, count = super_kmers(words.hashes, words.first, window, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[low + doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["key", "doc_id", "start", "n"])
+_RUNS = "key long, digest long, doc_id long, start int, n int"
 
 
-_PACKED = "key long, doc_id long, start int, n int, packed binary, digest binary"
-
-
-def _packed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Shared super-k-mers with their words; those of hot minimisers as one digest for each window."""
+def _runs(batches: Iterator[pa.RecordBatch], window: int, seed: int, again: bool = False) -> Iterator[pa.RecordBatch]:
+    """Super-k-mers of all windows; ``again``: of the windows of ``runs`` only, with the hashes of their windows packed."""
     for batch in batches:
-        out = []
-        for doc, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            words = text.encode().split()
-            for r in runs:
-                if r["hot"]:
-                    for s in range(r["start"], r["start"] + r["n"]):
-                        out.append((None, doc, s, 1, None, xxhash.xxh3_128_digest(b" ".join(words[s : s + window]))))
-                else:
-                    out.append((r["key"], doc, r["start"], r["n"], b" ".join(words[r["start"] : r["start"] + r["n"] + window - 1]), None))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        names = [x.split()[0] for x in _PACKED.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
-
-
-def _repeats(rows: pa.Table, window: int) -> pa.RecordBatch:
-    """Runs of windows that also start in a smaller document, among super-k-mers of whole minimisers."""
-    packed = rows.column("packed").to_pylist()
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in packed])])
-    words = words_of(np.frombuffer(b"".join(packed), np.uint8), offsets)
-    row = words.docs()
-    every = grams(words.hashes, window)
-    at = np.flatnonzero(row[: len(every)] == row[window - 1 :]) if len(every) else np.zeros(0, np.int64)
-    value, row = every[at], row[at]
-    doc, start = rows.column("doc_id").to_numpy()[row], rows.column("start").to_numpy()[row] + at - words.first[row]
-    order = np.lexsort((doc, value))
-    new = np.ones(len(order), bool)
-    new[1:] = value[order[1:]] != value[order[:-1]]
-    least = np.empty(len(order), np.int64)
-    if len(order):
-        least[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    hit = np.flatnonzero(doc > least)
-    doc, start, row = doc[hit], start[hit], row[hit]
-    begin = np.ones(len(hit), bool)
-    begin[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-    begins = np.flatnonzero(begin)
-    count = np.diff(np.append(begins, len(hit)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[begins]), pa.array(start[begins].astype(np.int32)), pa.array(count.astype(np.int32))], ["doc_id", "start", "n"])
-
-
-def _sorted_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    pending, rows = [], 0
-    for _, group in groups(batches, "key"):
-        pending.append(group)
-        rows += group.num_rows
-        if rows >= SORTED:
-            yield _repeats(pa.concat_tables(pending), window)
-            pending, rows = [], 0
-    if pending:
-        yield _repeats(pa.concat_tables(pending), window)
+        ids = batch.column("doc_id").to_numpy()
+        for low, high, words in batches_of_words(batch.column("text")):
+            among = _among(words.first, batch.column("runs").slice(low, high - low).to_pylist(), len(words.hashes)) if again else None
+            key, doc, start, count = super_kmers(words.hashes, words.first, window, seed, among)
+            place = words.first[doc] + start
+            digest = run_hashes(words.hashes, place, place + count + window - 1).view(np.int64)
+            columns = [pa.array(key), pa.array(digest), pa.array(ids[low + doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))]
+            if again:
+                every = grams(words.hashes, window)
+                bounds = np.concatenate([[0], np.cumsum(count)])
+                each = np.repeat(place - bounds[:-1], count) + np.arange(bounds[-1])
+                columns.append(pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(every[each])]))
+            yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "doc_id", "start", "n"] + ["windows"] * again)
+
+
+def _among(first: np.ndarray, runs: list[list[dict]], n_words: int) -> np.ndarray:
+    """Whether a window of ``runs`` (one list a document) starts at each word."""
+    change = np.zeros(n_words + 1, np.int64)
+    for begin, end, own in zip(first[:-1], first[1:], runs, strict=True):
+        for r in own:
+            change[min(begin + r["start"], end)] += 1
+            change[min(begin + r["start"] + r["n"], end)] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of super-k-mers; equal ones that follow each other are one row."""
+    for batch in batches:
+        count = batch.column("n").to_numpy().astype(np.int64)
+        digest = np.frombuffer(b"".join(batch.column("windows").to_pylist()), np.int64)
+        row = np.repeat(np.arange(len(count)), count)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
+        at = np.flatnonzero(new)
+        n = np.diff(np.append(at, len(row)))
+        key, doc, start = (batch.column(c).to_numpy()[row[at]] for c in ("key", "doc_id", "start"))
+        columns = [pa.array(key), pa.array(digest[at]), pa.array(doc), pa.array((start + within[at]).astype(np.int32)), pa.array(n.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "doc_id", "start", "n"])
+
+
+def _judged(runs: DataFrame) -> DataFrame:
+    """The written ``runs`` with repeated windows, ``hit``, and those that may have some, not ``hit``; the others have none.
+
+    Tables are written before they are joined, so that no side of a join is an aggregate and a hot key can be split.
+    """
+    shared = runs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
+    runs = materialise(runs.join(materialise(shared), "key"))
+    strings = materialise(runs.groupBy("key", "digest").agg(F.min("doc_id").alias("low")))
+    several = strings.groupBy("key").agg(F.min("low").alias("least"), F.max("low").alias("most")).filter("least < most").select("key", F.lit(True).alias("several"))
+    known = runs.join(strings.join(materialise(several), "key", "left"), ["key", "digest"])
+    return materialise(known.withColumn("hit", F.col("doc_id") > F.col("low")).filter("hit or several").drop("low", "several"))
 
 
 def kept_words(text: str | None, hits: list[dict] | None, window: int) -> tuple[int, int, bytes]:
@@ -156,25 +156,22 @@ _TOLD = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_tex
 
 
 def repeated_windows(documents: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text, runs) of the documents with shared minimisers, and (doc_id, start, n): runs of repeated windows.
+    """(doc_id, text, runs) of the documents that may have repeated windows, and (doc_id, start, n): runs of repeated windows.
 
     Both are written or cheap to read again; start counts words, n windows.
     """
+    longer = window - (window - seed) // 6
     named = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    runs = materialise(named.mapInArrow(lambda b: _runs(b, window, seed), "key long, doc_id long, start int, n int"))
-    shared = runs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("times"))
-    # written, so that neither side of the join is an aggregate and a hot key can be split
-    shared = materialise(shared.filter("low < high").select("key", (F.col("times") > HOT).alias("hot")))
-    by_doc = runs.join(shared, "key").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "key", "hot")).alias("runs"))
+    judged = _judged(materialise(named.mapInArrow(lambda b: _runs(b, window, seed), _RUNS)))
+    by_doc = judged.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "hit")).alias("runs"))
     moved = materialise(named.join(materialise(by_doc), "doc_id"))
-    packed = moved.mapInArrow(lambda b: _packed(b, window), _PACKED)
-    cold = packed.filter("key is not null").select("key", "doc_id", "start", "packed").repartition("key").sortWithinPartitions("key")
-    found = cold.mapInArrow(lambda b: _sorted_buckets(b, window), "doc_id long, start int, n int")
-    hot_runs = moved.withColumn("runs", F.filter("runs", lambda r: r["hot"])).filter(F.size("runs") > 0)
-    windows = materialise(hot_runs.mapInArrow(lambda b: _packed(b, window), _PACKED).select("digest", "doc_id", "start"))
-    least = materialise(windows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high"))
-    hot = materialise(windows.join(least, "digest").filter("doc_id > low").select("doc_id", "start", F.lit(1).alias("n")))
-    return moved, found.unionByName(hot)
+    undecided = moved.withColumn("runs", F.filter("runs", lambda r: ~r["hit"])).filter(F.size("runs") > 0)
+    closer = _judged(materialise(undecided.mapInArrow(lambda b: _runs(b, window, longer, again=True), _RUNS + ", windows binary")))
+    windows = materialise(closer.filter("not hit").drop("digest", "hit").mapInArrow(_windows, _RUNS))
+    least = windows.groupBy("key", "digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
+    last = windows.join(materialise(least), ["key", "digest"]).filter("doc_id > low")
+    found = [x.select("doc_id", "start", "n") for x in (judged.filter("hit"), closer.filter("hit"), last)]
+    return moved, found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def deduplicate_substrings(documents: DataFrame, window: int = WINDOW, seed: int = SEED, with_text: bool = True) -> DataFrame:

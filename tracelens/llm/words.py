@@ -158,6 +158,14 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
+def run_hashes(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run of words begins:ends, of any lengths and overlaps, by differences of a rolling sum."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _power_table(_BASE, len(hashes))[: len(hashes)], out=total[1:])
+    back = _power_table(pow(_BASE, -1, 1 << 64), len(hashes) + 1)
+    return mix((total[ends] - total[begins]) * back[begins] + (ends - begins).astype(np.uint64))
+
+
 def shingle_sets(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-word shingles of each document, concatenated, and their len + 1 bounds.
 
